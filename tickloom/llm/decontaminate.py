@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from tickloom.llm import _scan
 from tickloom.llm._util import stage
+from tickloom.shipping import ship
 
 BROADCAST_BYTES = 32 << 20
 _TABLE_BITS = 20
@@ -109,6 +110,7 @@ def scan(docs: DataFrame, bench: DataFrame, *, n: int = 13, text_col: str = "tex
     """
     docs = docs.drop("n_words", "spans", "items")
     spark, total = docs.sparkSession, None
+    ship(spark)
     for count, windows in _parts(bench, n, item_col, bench_text_col):
         held = spark.sparkContext.broadcast(windows)
 

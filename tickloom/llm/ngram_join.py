@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from tickloom.llm import _scan
 from tickloom.llm._util import Forest, grouped, stage
 from tickloom.llm.components import components
+from tickloom.shipping import ship
 
 #: Most heavy hitters that are broadcast (8 bytes and a rank byte each). They only order prefixes; links don't depend on them.
 HOT_NGRAMS = 200_000
@@ -240,6 +241,7 @@ def ngram_join(docs: DataFrame, *, n: int = 4, percent: int = 85, id_col: str =
     no other is there. Repeated rows come out as often as they went in; other columns are ignored; empty in, empty out.
     """
     spark = docs.sparkSession
+    ship(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     hot = docs.select("text").mapInArrow(_count_hot(n), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(HOT_NGRAMS).toPandas()
     hot_h = hot["h"].to_numpy(dtype=np.int64).view(np.uint64)

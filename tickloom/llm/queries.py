@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm import decontaminate, ngram_join
+from tickloom.llm import decontaminate, ngram_join, sstable
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -19,5 +19,21 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_join(_read(spark, sf_dir, "documents"))
 
 
+def tokenizer_spec(name: str = "byte_bpe_50k.json", folder: str | None = None) -> str:
+    """The JSON of a public tokenizer; folder: where its file is, else the installed package's."""
+    if folder is None:
+        import public_tokenizers
+
+        path = public_tokenizers.path(name)
+    else:
+        path = f"{folder}/{name}"
+    with open(path, encoding="utf-8") as f:
+        return f.read()
+
+
+def op4_token_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sstable.digest(spark, sstable.write(_read(spark, sf_dir, "documents"), tokenizer_spec()))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op")}
