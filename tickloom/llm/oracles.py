@@ -35,5 +35,33 @@ FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.a = d.doc_id
 """
 
 
+OP7 = r"""
+WITH d AS (
+  SELECT doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5(coalesce(cast(doc_id AS VARCHAR), '') || ':mix') AS h FROM documents
+),
+s AS (
+  SELECT source, cast(sum(size) AS BIGINT) AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS w FROM d GROUP BY source
+),
+b AS (SELECT cast(sum(source_size) AS BIGINT) AS b FROM s),
+r AS (
+  SELECT s.*, b.b - coalesce(sum(3 * source_size) OVER (ORDER BY 3.0 * source_size / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
+    sum(w) OVER (ORDER BY 3.0 * source_size / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS ws FROM s, b
+),
+l AS (SELECT rest, ws FROM r WHERE 3 * source_size * ws > w * rest ORDER BY 3.0 * source_size / w, source NULLS LAST LIMIT 1),
+t AS (
+  SELECT source, source_size, CASE WHEN l.ws IS NULL OR 3 * source_size * l.ws <= w * l.rest THEN cast(3 * source_size AS DOUBLE)
+    ELSE cast(w * l.rest AS DOUBLE) / cast(l.ws AS DOUBLE) END AS target FROM s LEFT JOIN l ON true
+),
+u AS (
+  SELECT d.*, t.source_size, t.target, cast(sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS upto
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+),
+c AS (SELECT doc_id, h, size, cast(e * source_size + upto AS DOUBLE) / target AS finish FROM u, range(3) x(e) WHERE size > 0 AND target > 0),
+k AS (SELECT doc_id, h, size, sum(size) OVER (ORDER BY finish RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS total FROM c),
+m AS (SELECT doc_id, cast(sum(size) AS BIGINT) AS taken FROM k, b WHERE total <= b GROUP BY doc_id)
+SELECT u.doc_id, size, source_size, target, coalesce(taken, 0) AS taken FROM u LEFT JOIN m ON u.doc_id = m.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": OP1, "op3_ngram_join": OP3}
+    return {"op1_decontaminate": OP1, "op3_ngram_join": OP3, "op7_mixing": OP7}

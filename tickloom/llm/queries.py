@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import decontaminate, langid, ngram_join, sstable, toxicity
+from tickloom.llm import decontaminate, langid, mixing, ngram_join, sharding, sstable, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -16,6 +16,10 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op2_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.kd_shards(_read(spark, sf_dir, "documents"), shards=24)
+
+
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_join(_read(spark, sf_dir, "documents"))
 
@@ -36,6 +40,10 @@ def op4_token_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.digest(spark, sstable.write(_read(spark, sf_dir, "documents"), tokenizer_spec()))
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(_read(spark, sf_dir, "documents"))
+
+
 def held_out() -> Column:
     """A third of the documents, by their id, is kept from training. A null id is not."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
