@@ -54,10 +54,10 @@ def fit(train: DataFrame, *, text_col: str = "text", lang_col: str = "lang", per
 def _table(counts: DataFrame, langs: list[str], most: int, least: int) -> tuple[dict[str, int], np.ndarray]:
     """The most frequent entries, and their log frequencies in each language with a row for all others at the end."""
     wide = counts.groupBy("g").agg(F.sum("c").alias("total"), *[F.coalesce(F.sum(F.when(F.col("lang") == lang, F.col("c"))), F.lit(0)).alias(f"l{i}") for i, lang in enumerate(langs)])
-    got = wide.where(F.col("total") >= least).orderBy(F.desc("total"), "g").limit(most).toPandas()
-    n = got[[f"l{i}" for i in range(len(langs))]].to_numpy(dtype=np.float64)
+    got = wide.where(F.col("total") >= least).orderBy(F.desc("total"), "g").limit(most).toArrow()
+    n = np.stack([got[f"l{i}"].to_numpy().astype(np.float64) for i in range(len(langs))], axis=1)
     n = np.vstack([n, np.zeros(len(langs))]) + ALPHA
-    return {g: i for i, g in enumerate(got["g"])}, np.log(n / n.sum(axis=0)).astype(np.float32)
+    return {g: i for i, g in enumerate(got["g"].to_pylist())}, np.log(n / n.sum(axis=0)).astype(np.float32)
 
 
 class Scorer:

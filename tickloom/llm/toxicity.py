@@ -76,9 +76,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
                 yield pa.RecordBatch.from_arrays([part.column("h"), part.column("id"), part.column("y"), pa.array(lists, pa.list_(pa.int32()))], ["h", "id", "y", "at"])
 
     kind = texts.schema["id"].dataType.simpleString()
-    got = texts.mapInArrow(run, f"h long, id {kind}, y int, at array<int>").toPandas()
-    got = got.sort_values(["h", "id"], kind="stable")
-    return ftrl([(np.asarray(at, dtype=np.int64), int(y)) for at, y in zip(got["at"], got["y"])], epochs=epochs)
+    got = texts.mapInArrow(run, f"h long, id {kind}, y int, at array<int>").toArrow()
+    got = got.combine_chunks().sort_by([("h", "ascending"), ("id", "ascending")])
+    return ftrl([(at.values.to_numpy().astype(np.int64), y.as_py()) for at, y in zip(got["at"], got["y"])], epochs=epochs)
 
 
 def predict(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], *, text_col: str = "text") -> DataFrame:
