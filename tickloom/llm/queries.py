@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import decontaminate, langid, mixing, ngram_join, sharding, sstable, toxicity
+from tickloom.llm import decontaminate, langid, media, mixing, ngram_join, sharding, sstable, toxicity, url_rules
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -40,6 +40,19 @@ def op4_token_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.digest(spark, sstable.write(_read(spark, sf_dir, "documents"), tokenizer_spec()))
 
 
+#: (host, path, verdict) that op5 judges by.
+URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+
+
+def op5_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return url_rules.judge(_read(spark, sf_dir, "pages"), rules)
+
+
+def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.features(media.store(_read(spark, sf_dir, "documents")))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(_read(spark, sf_dir, "documents"))
 
