@@ -10,6 +10,7 @@ import uuid
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _STAGED: list[tuple[SparkSession, str]] = []
 
@@ -111,3 +112,39 @@ class Forest:
             a, b = b, a
         self.up[b] = a
         return True
+
+
+BLOOM_MOST_BITS = 1 << 27
+
+
+class Bloom:
+    """A Bloom filter over a long column of well-mixed hashes, made by Spark and of 16 MB at most.
+
+    It only saves moving rows that a later exact join would drop: beyond its size it lets more through, never fewer.
+    """
+
+    HASHES = 4
+
+    def __init__(self, df: DataFrame, column: str):
+        count = df.count()
+        self.bits = min(BLOOM_MOST_BITS, max(1 << 12, 1 << int(16 * count).bit_length()))
+        low, step = F.col(column).bitwiseAND(F.lit(self.bits - 1)), F.shiftrightunsigned(F.col(column), 32).bitwiseOR(F.lit(1))
+        at = F.array(*[(low + step * i).bitwiseAND(F.lit(self.bits - 1)) for i in range(self.HASHES)])
+        words = df.select(F.explode(at).alias("at")).groupBy(F.shiftright("at", 5).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 32 as int))")).alias("v")).toArrow()
+        table = np.zeros(self.bits // 32, dtype=np.uint32)
+        table[words["w"].to_numpy()] = words["v"].to_numpy().astype(np.uint32)
+        self.held = df.sparkSession.sparkContext.broadcast(table)
+
+    def test(self):
+        """A function for executors: int64 hashes -> mask of those that may be in."""
+        held, bits, hashes = self.held, self.bits, self.HASHES
+
+        def may(h: np.ndarray) -> np.ndarray:
+            table, h = held.value, h.view(np.uint64)
+            step, out = (h >> np.uint64(32)) | np.uint64(1), np.ones(len(h), dtype=bool)
+            for i in range(hashes):
+                at = (h + step * np.uint64(i)) & np.uint64(bits - 1)
+                out &= (table[(at >> np.uint64(5)).astype(np.int64)] >> (at & np.uint64(31)).astype(np.uint32)) & np.uint32(1) == 1
+            return out
+
+        return may

@@ -9,10 +9,10 @@ The document x n-gram incidence matrix is multiplied with its transpose in block
 3. The classes with one prefix n-gram form a block; its least class is the block's centre. Each pair of a block meets
    in the group of that centre. Groups too large for a task are cut in tiles, and pairs of tiles are dealt out.
 4. In a tile, pairs that the size bound or the bound from set bitmaps (symmetric difference >= Hamming distance)
-   excludes are discarded; this moves some bytes per class, no texts.
-5. For what is left the texts are fetched once per group, overlap counts are accumulated over a tile's inverted
-   n-gram index with exact word identities, and pairs with 100 * overlap >= percent * union are linked. A task puts out
-   a spanning forest of its links, never all pairs of a group.
+   excludes are discarded; this moves some bytes per class, no texts. What is left falls into candidate components.
+5. The texts of those components alone are fetched, each once, and dealt to tiles of their component. Overlap counts
+   are accumulated over a tile's inverted n-gram index with exact word identities, and pairs with
+   100 * overlap >= percent * union are linked. A task puts out a spanning forest, never all pairs of a group.
 6. Components over the links' classes give each document the smallest document id that it reaches.
 """
 
@@ -23,11 +23,12 @@ import hashlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm import _scan
-from tickloom.llm._util import Forest, grouped, stage
+from tickloom.llm._util import Bloom, Forest, grouped, stage
 from tickloom.llm.components import components
 from tickloom.shipping import ship
 
@@ -122,7 +123,7 @@ def _folded(bits: np.ndarray, words: int) -> np.ndarray:
 
 
 def _maybe(percent):
-    """Classes of a tile that the bounds don't separate, labelled by what they may be linked with."""
+    """A spanning forest of the pairs of a tile that the bounds don't separate."""
 
     def run(pdf):
         pdf = pdf.drop_duplicates("node").sort_values("n", kind="stable")
@@ -136,7 +137,7 @@ def _maybe(percent):
         place = {i: (w, j) for w, rows in by_width.items() for j, i in enumerate(rows)}
         cross = bool(pdf["ti"].iat[0] != pdf["tj"].iat[0])
         last = np.searchsorted(n, n * 100 // percent, "right")
-        forest, touched, views = Forest(len(n)), np.zeros(len(n), dtype=bool), {}
+        forest, forest_links, views = Forest(len(n)), [], {}
         for i in range(len(n) - 1):
             if last[i] <= i + 1:
                 continue
@@ -156,21 +157,41 @@ def _maybe(percent):
                 ok = 100 * most >= percent * (total - most)
                 if cross:
                     ok &= side[js] != side[i]
-                js = js[ok]
-                if len(js):
-                    touched[i] = touched[js] = True
-                    for j in js.tolist():
-                        forest.join(i, j)
-        kept = np.flatnonzero(touched)
-        if not len(kept):
-            return None
-        out = pdf.iloc[kept][["center", "ti", "tj", "tile", "node"]].copy()
-        out["part"] = [forest.find(i) for i in kept.tolist()]
-        return out
+                forest_links += [(i, j) for j in js[ok].tolist() if forest.join(i, j)]
+        node = pdf["node"].tolist()
+        return pd.DataFrame(out, columns=["a", "b"]) if (out := [(node[i], node[j]) for i, j in forest_links]) else None
 
     return run
 
 
+def _in_blocks(may):
+    def run(batches):
+        for batch in batches:
+            prefix = batch.column("prefix")
+            flat = prefix.flatten().to_numpy(zero_copy_only=False)
+            owner = np.repeat(batch.column("nid").to_numpy(), pa.compute.list_value_length(prefix).to_numpy(zero_copy_only=False))
+            keep = may(flat)
+            yield pa.RecordBatch.from_arrays([pa.array(owner[keep]), pa.array(flat[keep])], ["nid", "s"])
+
+    return run
+
+
+def _wanted(may):
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(may(batch.column("h").to_numpy())))
+
+    return run
+
+
+def _tiles(members: DataFrame, group: str) -> DataFrame:
+    """members (group, node, n) dealt to pairs of tiles: a group of t tiles has t (t + 1) / 2 of them."""
+    tiles = members.groupBy(group).agg(F.greatest(F.ceil(F.count("*") / TILE_ROWS), F.ceil(F.sum("n") / TILE_NGRAMS)).cast("int").alias("tiles"), F.count("*").alias("c")).where("c > 1").select(group, "tiles")
+    dealt = members.select(group, "node").join(tiles, group).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    return dealt.select(group, F.least("tile", "other").alias("ti"), F.greatest("tile", "other").alias("tj"), "tile", "node")
+
+
 def _exact_sets(raw: list[str], k: int) -> list[np.ndarray]:
     """N-gram sets of these texts with identities instead of hashes: numbers for words, for pairs, for n-grams."""
     vocabulary: dict[bytes, int] = {}
@@ -243,10 +264,10 @@ def ngram_join(docs: DataFrame, *, n: int = 4, percent: int = 85, id_col: str =
     spark = docs.sparkSession
     ship(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    hot = docs.select("text").mapInArrow(_count_hot(n), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(HOT_NGRAMS).toPandas()
-    hot_h = hot["h"].to_numpy(dtype=np.int64).view(np.uint64)
+    hot = docs.select("text").mapInArrow(_count_hot(n), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(HOT_NGRAMS).toArrow()
+    hot_h = hot["h"].to_numpy().view(np.uint64)
     order = np.argsort(hot_h)
-    hot_rank = np.log2(np.maximum(2, hot["n"].to_numpy(dtype=np.float64))).astype(np.int8)[order]
+    hot_rank = np.log2(np.maximum(2, hot["n"].to_numpy().astype(np.float64))).astype(np.int8)[order]
     hot_h, hot_rank = spark.sparkContext.broadcast(hot_h[order]), spark.sparkContext.broadcast(hot_rank)
 
     found = docs.mapInArrow(_signatures(n, percent, hot_h, hot_rank), "node binary, doc_id long, n int, prefix array<long>, bits binary")
@@ -254,21 +275,20 @@ def ngram_join(docs: DataFrame, *, n: int = 4, percent: int = 85, id_col: str =
     classes = stage(classes.withColumn("nid", F.expr("conv(substr(hex(node), 1, 15), 16, 10)").cast("long")), "classes")
 
     rows = classes.select("nid", F.explode("prefix").alias("s"))
-    blocks = rows.groupBy("s").agg(F.count("*").alias("c"), F.min("nid").alias("center")).where("c > 1").select("s", "center")
+    blocks = stage(rows.groupBy("s").agg(F.count("*").alias("c"), F.min("nid").alias("center")).where("c > 1").select("s", "center"), "blocks")
+    rows = classes.select("nid", "prefix").mapInArrow(_in_blocks(Bloom(blocks, "s").test()), "nid long, s long")
     pairs = rows.join(blocks, "s").select("center", "nid").distinct()
     pairs = stage(pairs.join(classes.select("nid", "node", "n"), "nid").select("center", "node", "n"), "groups")
-    tiles = pairs.groupBy("center").agg(F.greatest(F.ceil(F.count("*") / TILE_ROWS), F.ceil(F.sum("n") / TILE_NGRAMS)).cast("int").alias("tiles"), F.count("*").alias("c")).where("c > 1").select("center", "tiles")
-    dealt = pairs.select("center", "node").join(tiles, "center").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    dealt = dealt.select("center", F.least("tile", "other").alias("ti"), F.greatest("tile", "other").alias("tj"), "tile", "node")
-    dealt = dealt.join(classes.select("node", "n", "bits"), "node").select("center", "ti", "tj", "tile", "node", "n", "bits")
-    maybe = grouped(dealt, ["center", "ti", "tj"], _maybe(percent), "center long, ti int, tj int, tile int, node binary, part int")
-
-    named = classes.select("node", F.col("doc_id").alias("rep"))
-    maybe = stage(maybe.join(named, "node"), "maybe")
-    source = docs.where("text is not null").select(F.unhex(F.md5("text")).alias("d_node"), "doc_id", "text")
-    held = maybe.join(source, (F.col("node") == F.col("d_node")) & F.col("rep").eqNullSafe(F.col("doc_id"))).select("center", "ti", "tj", "part", "tile", "node", "text")
-    links = grouped(held, ["center", "ti", "tj", "part"], _linked(n, percent), "a binary, b binary")
+    dealt = _tiles(pairs, "center").join(classes.select("node", "n", "bits"), "node").select("center", "ti", "tj", "tile", "node", "n", "bits")
+    maybe = components(grouped(dealt, ["center", "ti", "tj"], _maybe(percent), "a binary, b binary"))
+
+    named = classes.select("node", "n", F.col("doc_id").alias("rep"))
+    maybe = stage(maybe.join(named, "node").select("node", "n", "rep", F.xxhash64("node", "rep").alias("h"), F.xxhash64("root").alias("center")), "maybe")
+    source = docs.where("text is not null").withColumn("node", F.unhex(F.md5("text"))).select(F.xxhash64("node", "doc_id").alias("h"), "text")
+    source = source.mapInArrow(_wanted(Bloom(maybe, "h").test()), "h long, text string").withColumn("d_node", F.unhex(F.md5("text")))
+    texts = stage(maybe.select("h", "node").join(source, (maybe["h"] == source["h"]) & (maybe["node"] == source["d_node"])).select("node", "text"), "texts")
+    held = _tiles(maybe, "center").join(texts, "node").select("center", "ti", "tj", "tile", "node", "text")
+    links = grouped(held, ["center", "ti", "tj"], _linked(n, percent), "a binary, b binary")
 
     roots = components(links)
     at = classes.select("node", "n", "doc_id").join(roots, "node", "left").select("node", "n", "doc_id", F.coalesce("root", "node").alias("root"))
