@@ -5,7 +5,7 @@ that bytes sort as ids do; a null id is the empty key and comes first. Layout of
 
     magic | block* | index | Bloom filter | footer
 
-A block is zlib-compressed and holds entries (shared, rest, value length as varints; the key's rest; the value), where
+A block is zstd-compressed and holds entries (shared, rest, value length as varints; the key's rest; the value), where
 shared is the number of leading bytes that the key has in common with the one before it in the block. The index has a
 row for each block (first key, offset, stored bytes, CRC-32): it is sparse. The footer has the places of both, counts
 and its own length. A lookup reads the footer, asks the Bloom filter, finds the block by binary search and reads it alone.
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from tickloom.llm import _scan
 from tickloom.llm._util import filesystem, stage, workspace
-from tickloom.llm.tokens import Encoder
+from tickloom.llm.tokens import encoder
 from tickloom.shipping import ship
 
 MAGIC = b"TLSST001"
@@ -110,7 +110,8 @@ class Writer:
 
     def _flush(self) -> None:
         if self.block:
-            raw = zlib.compress(b"".join(self.block), 1)
+            raw = b"".join(self.block)
+            raw = struct.pack("<I", len(raw)) + pa.compress(raw, codec="zstd", asbytes=True)
             self.index.append((self.first, self.at, len(raw), zlib.crc32(raw)))
             self._put(raw)
             self.block, self.size = [], 0
@@ -156,7 +157,7 @@ class Reader:
         raw = self.file.read_at(n, at)
         if zlib.crc32(raw) != crc:
             raise ValueError(f"block {i} damaged")
-        raw, at, key = zlib.decompress(raw), 0, b""
+        raw, at, key = pa.decompress(raw[4:], struct.unpack("<I", raw[:4])[0], codec="zstd", asbytes=True), 0, b""
         kind = "<u2" if self.footer["width"] == 2 else "<u4"
         while at < len(raw):
             shared, at = _read_varint(raw, at)
@@ -203,17 +204,17 @@ def write(docs: DataFrame, tokenizer: str, *, end_id: int = 2, shards: int | Non
     ranged = docs.repartitionByRange(shards, order[0]) if shards else docs.repartitionByRange(order[0])
 
     def run(batches):
-        writer = encoder = None
+        writer = None
         for batch in batches:
             for part in _scan.slices(batch, "text"):
-                if encoder is None:
-                    encoder = Encoder(spec.value)
+                if writer is None:
+                    own = encoder(spec.value)
                     fs, root = filesystem(folder)
                     name = uuid.uuid4().hex
                     out = fs.open_output_stream(f"{root}/.{name}.part")
-                    writer = Writer(out, 2 if max(encoder.size, end_id + 1) <= 1 << 16 else 4)
+                    writer = Writer(out, 2 if max(own.size, end_id + 1) <= 1 << 16 else 4)
                 end = struct.pack("<I", end_id)
-                for doc_id, ids in zip(part.column("doc_id").to_pylist(), encoder.encode(part.column("text").to_pylist())):
+                for doc_id, ids in zip(part.column("doc_id").to_pylist(), own.encode(part.column("text").to_pylist())):
                     writer.add(key_of(doc_id), np.frombuffer(ids + end, dtype="<u4"))
         if writer is not None:
             writer.close()

@@ -1,40 +1,93 @@
-"""Token ids of whole texts by a public byte-level BPE tokenizer, with a bounded memory of pieces already encoded."""
+"""Token ids of whole texts by a public byte-level BPE tokenizer, with a bounded memory of stretches already encoded.
+
+A tokenizer of this family cuts a text in pieces before it merges bytes, and a piece takes at most one space, at its
+start. So a single space or newline between other characters always begins a piece, and the ids of a text are those of
+its stretches between such places, one after the other. Stretches repeat; each is given to the library once, as long as
+it is remembered. A text with any other white space goes to the library whole.
+"""
 
 from __future__ import annotations
 
+import array
+import itertools
 import os
+import re
+
+#: White space, and separators that some libraries count as such.
+_BLANK = re.compile("[\t-\r\x1c-\x20\x85\xa0 ᠎ -​    　﻿]").search
+_FIRST = "\ud800"  # marks a text's first stretch; not a character of any text
+_encoders: dict[int, Encoder] = {}
 
-import numpy as np
 
-#: The pieces in which a byte-level BPE of this family cuts a text before merging: fixed values of the vocabulary's format.
-PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Texts with other characters go to the library as a whole: their classes may differ between releases of Unicode.
-_PLAIN = "[^\t-\r\x20-\x7e\xa0-ɏ]"
+def encoder(spec: str) -> Encoder:
+    """One for each worker process and tokenizer, so that what it remembers outlives a task."""
+    key = hash(spec)
+    if key not in _encoders:
+        _encoders.clear()
+        _encoders[key] = Encoder(spec)
+    return _encoders[key]
 
 
 class Encoder:
     """bytes of little-endian unsigned 32-bit ids for each text, equal to the library's own encoding of it."""
 
-    def __init__(self, spec: str, most: int = 400_000):
+    def __init__(self, spec: str, most: int = 1_200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.size = self.tokenizer.get_vocab_size()
-        self.split, self.odd = regex.compile(PIECES).findall, regex.compile(_PLAIN).search
-        self.known: dict[str, bytes] = {}
         self.most = most
+        self.known: dict[str, bytes | None] = {}
+        self.older: dict[str, bytes | None] = {}
+
+    def _library(self, raw: list[str]) -> list[bytes]:
+        ids = [x.ids for x in self.tokenizer.encode_batch_fast(raw, add_special_tokens=False)]
+        flat = array.array("I", itertools.chain.from_iterable(ids)).tobytes()
+        cuts = [0, *itertools.accumulate([4 * len(x) for x in ids])]
+        return [flat[a:b] for a, b in itertools.pairwise(cuts)]
 
-    def _library(self, pieces: list[str]) -> list[bytes]:
-        return [np.array(x.ids, dtype="<u4").tobytes() for x in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+    def _learn(self, stretches: set[str]) -> None:
+        """Ids of stretches as they stand in a text; None for one that doesn't begin and end at pieces' ends."""
+        known, older = self.known, self.older
+        new, ends = [], []
+        for s in stretches:
+            if s in older:
+                known[s] = older[s]
+                continue
+            body = s[1:] if s[:1] in ("\n", _FIRST) else s
+            if not body or _BLANK(body):
+                known[s] = None
+            elif s[-1] in ".," and body[:-1].isalpha():
+                ends.append(s)
+            else:
+                new.append(s)
+        bases = {s[:-1] for s in ends} - known.keys() - set(new)
+        for b in [b for b in bases if b in older]:
+            known[b] = older[b]
+            bases.discard(b)
+        new += [*bases, *[p for p in (f"{_FIRST}.", f"{_FIRST},") if p not in known]]
+        known.update(zip(new, self._library([s[1:] if s[:1] == _FIRST else s if s[:1] == "\n" else f" {s}" for s in new])))
+        for s in ends:
+            known[s] = known[s[:-1]] + known[_FIRST + s[-1]]
 
     def encode(self, raw: list[str | None]) -> list[bytes]:
-        cut = [None if t and self.odd(t) else self.split(t or "") for t in raw]
-        if len(self.known) > self.most:
-            self.known.clear()
-        known = self.known
-        new = list({p for pieces in cut if pieces for p in pieces if p not in known})
-        known.update(zip(new, self._library(new)))
-        return [self._library([t])[0] if pieces is None else b"".join([known[p] for p in pieces]) for t, pieces in zip(raw, cut)]
+        cut, all_ = [], set()
+        for t in raw:
+            own = f"{_FIRST}{t}".replace("\n", " \n").split(" ") if t else []
+            all_.update(own)
+            cut.append(own)
+        if len(self.known) > self.most // 2:
+            self.known, self.older = {}, self.known
+        self._learn(all_ - self.known.keys())
+        get, out, odd = self.known.__getitem__, [], []
+        for i, own in enumerate(cut):
+            try:
+                out.append(b"".join(map(get, own)))
+            except TypeError:
+                out.append(b"")
+                odd.append(i)
+        for i, ids in zip(odd, self._library([raw[i] for i in odd])):
+            out[i] = ids
+        return out
