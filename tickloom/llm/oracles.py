@@ -72,5 +72,13 @@ SELECT u.doc_id, size, source_size, target, coalesce(taken, 0) AS taken FROM u L
 """
 
 
+# The table has no tool calls: each of its rows is a message.
+OP9 = r"""
+SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) - 1 AS seq, role, 'message' AS kind, cast(NULL AS VARCHAR) AS call_id, cast(NULL AS BOOLEAN) AS linked,
+  '' AS problem, cast(json_object('content', text, 'kind', 'message', 'role', role, 'turn', turn) AS VARCHAR) AS json
+FROM conversations
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": OP1, "op3_ngram_join": OP3, "op5_url_rules": OP5, "op7_mixing": OP7}
+    return {"op1_decontaminate": OP1, "op3_ngram_join": OP3, "op5_url_rules": OP5, "op7_mixing": OP7, "op9_chat_format": OP9}
