@@ -96,6 +96,28 @@ def mix(docs: DataFrame, *, budget: int | None = None, **options) -> DataFrame:
     return copies.where(F.lit(False) if end is None else F.col("finish") <= F.lit(end)).orderBy("finish", "h", "doc_id").drop("h")
 
 
+def apply(docs: DataFrame, *, budget: int | None = None, most: int = 3, weights: Column | None = None, seed: str = "mix", id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", most_broadcast: int = 10_000) -> DataFrame:
+    """docs as the mix has them: rows it doesn't take are gone, rows it repeats are there up to `most` times.
+
+    What an epoch takes of a source is a start of the source's order, so the last place taken of each says it all; texts
+    aren't moved. Those places are broadcast while the sources are at most most_broadcast, else joined by a shuffle.
+    Rows equal in id and size are taken together. Documents without words are left out.
+    """
+    copies, documents = queue(docs, weights=weights, budget=budget, most=most, seed=seed, id_col=id_col, source_col=source_col, text_col=text_col)
+    budget = budget if budget is not None else documents.agg(F.sum("size")).first()[0] or 0
+    end = cut(copies, budget)
+    last = copies.where(F.lit(False) if end is None else F.col("finish") <= F.lit(end)).groupBy("source", "epoch").agg(F.max(F.struct("h", "doc_id", "size")).alias("last"))
+    last = stage(last.groupBy(F.col("source").alias("m_source")).agg(*[F.max(F.when(F.col("epoch") == e, F.col("last"))).alias(f"m_last{e}") for e in range(most)]), "mix-last")
+    text, key = F.col(f"`{text_col}`").cast("string"), F.col(f"`{id_col}`")
+    size = F.size(F.regexp_extract_all(text, F.lit(WORDS), F.lit(0))).cast("long")
+    h = F.md5(F.concat(F.coalesce(key.cast("string"), F.lit("")), F.lit(f":{seed}")))
+    rows = docs.where(text.isNotNull()).select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("m_row"), F.col(f"`{source_col}`").cast("string").alias("m_own"), F.struct(h.alias("h"), key.cast("long").alias("doc_id"), size.alias("size")).alias("m_place")).where("m_place.size > 0")
+    side = F.broadcast(last) if last.count() <= most_broadcast else last
+    rows = rows.join(side, F.expr("m_own <=> m_source"))
+    times = sum((F.coalesce((F.col("m_place") <= F.col(f"m_last{e}")).cast("int"), F.lit(0)) for e in range(most)), F.lit(0))
+    return rows.withColumn("m_times", times).where("m_times > 0").withColumn("m_copy", F.explode(F.sequence(F.lit(1), F.col("m_times")))).select("m_row.*")
+
+
 def taken(docs: DataFrame, *, budget: int | None = None, most: int = 3, **options) -> DataFrame:
     """Per row of docs: doc_id, size, source_size, target, taken (tokens that the mix takes, repeats counted).
 

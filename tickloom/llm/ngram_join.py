@@ -26,6 +26,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from tickloom.llm import _scan
 from tickloom.llm._util import Bloom, Forest, grouped, stage
@@ -261,9 +262,39 @@ def ngram_join(docs: DataFrame, *, n: int = 4, percent: int = 85, id_col: str =
     empty set and are linked with nothing, not even with each other. Null ids are ignored as a component's name unless
     no other is there. Repeated rows come out as often as they went in; other columns are ignored; empty in, empty out.
     """
+    return _classified(docs, n, percent, id_col, text_col).select("doc_id", "n_shingles", "component_id")
+
+
+def deduplicate(docs: DataFrame, *, n: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each group of linked documents: that of the smallest id; rows without words all stay.
+
+    Rows that are the only one of their group, nearly all as a rule, aren't moved: a Bloom filter over the others lets
+    them through, and only what it holds back is joined with the decisions. Repeated rows of a kept id become one.
+    """
+    found = stage(_classified(docs, n, percent, id_col, text_col).where("n_shingles > 0").groupBy("key", "node", "doc_id", "component_id").agg(F.count("*").alias("c")), "dedup")
+    kept = found.where("doc_id <=> component_id").groupBy("component_id").agg(F.min(F.struct("key", "node")).alias("k")).select(F.col("component_id").alias("kept_id"), "k.*")
+    kept = kept.select("kept_id", F.col("key").alias("kept_key"), F.col("node").alias("kept_node"))
+    ask = found.join(kept, F.expr("component_id <=> kept_id"), "left").withColumn("keep", F.expr("key <=> kept_key AND node <=> kept_node"))
+    ask = stage(ask.where("NOT keep OR c > 1").select(F.col("key").alias("a_key"), F.col("node").alias("a_node"), "keep"), "dedup-ask")
+    text = F.col(f"`{text_col}`").cast("string")
+    keyed = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("row"), F.xxhash64(F.col(f"`{id_col}`").cast("long"), text).alias("key"), F.unhex(F.md5(text)).alias("node"))
+    may = Bloom(ask, "a_key").test()
+
+    def run(batches):
+        for batch in batches:
+            asked = pa.array(may(batch.column("key").to_numpy()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, asked], [*batch.schema.names, "asked"])
+
+    keyed = keyed.mapInArrow(run, StructType([*keyed.schema.fields, StructField("asked", BooleanType())]))
+    free = keyed.where("NOT asked").select("row.*")
+    held = keyed.where("asked").join(ask, F.expr("key = a_key AND node <=> a_node"), "left").where("keep IS NULL OR keep")
+    return free.unionByName(held.where("keep IS NULL").select("row.*")).unionByName(held.where("keep").dropDuplicates(["key", "node"]).select("row.*"))
+
+
+def _classified(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     spark = docs.sparkSession
     ship(spark)
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     hot = docs.select("text").mapInArrow(_count_hot(n), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(HOT_NGRAMS).toArrow()
     hot_h = hot["h"].to_numpy().view(np.uint64)
     order = np.argsort(hot_h)
@@ -295,7 +326,7 @@ def ngram_join(docs: DataFrame, *, n: int = 4, percent: int = 85, id_col: str =
     at = stage(at, "roots")
     least = at.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     at = at.join(least, "root").select("node", "n", "component_id")
-    own = docs.select("doc_id", F.unhex(F.md5("text")).alias("d_node"))
+    own = docs.select("doc_id", F.unhex(F.md5("text")).alias("d_node"), F.xxhash64("doc_id", "text").alias("key"))
     return own.join(at, F.col("d_node") == F.col("node"), "left").select(
-        "doc_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_shingles"), F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
+        "doc_id", "key", F.col("d_node").alias("node"), F.coalesce("n", F.lit(0)).cast("long").alias("n_shingles"), F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
     )
