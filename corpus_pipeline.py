@@ -1,11 +1,60 @@
-"""Corpus preparation as a chain of stages, each over all that its predecessor kept."""
+"""Corpus preparation as a chain of stages, each over all that its predecessor kept.
+
+Language ID drops documents without a letter or without a clear language; the n-gram join leaves one document of each
+group of near copies; decontamination drops documents that are largely benchmark text and cuts benchmark passages from
+the others; mixing repeats or leaves out documents until sources have their target weights; the last stage writes token
+ids as sorted string tables and returns what is read back.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tickloom.llm import decontaminate, langid, mixing, ngram_join, sstable
+from tickloom.llm._util import stage
+from tickloom.llm.queries import tokenizer_spec
+
+#: Documents whose best language has a lower posterior are rejected.
+LEAST_SCORE = 0.5
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    columns = docs.columns
+    scored = langid.predict(docs.select(F.struct(*[f"`{c}`" for c in columns]).alias("row"), F.col("text")), langid.fit(docs))
+    return scored.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select("row.*")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return ngram_join.deduplicate(docs)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.apply(docs)
+
+
+def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return sstable.digest(spark, sstable.write(docs, tokenizer_spec()))
+
+
+STAGES = [
+    ("language ID", language_id),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", benchmark_decontamination),
+    ("mixing sources to target weights", source_mix),
+    ("token-ID / binary output", token_output),
+]
+#: Language ID and token ids can't be stated in SQL; tests hold run() against a plain version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    """The rows of the last stage."""
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage, each stage over the staged output of the one before it."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, step in STAGES[:-1]:
+        docs = stage(step(spark, docs, sf_dir), name.split()[0].lower())
+    return STAGES[-1][1](spark, docs, sf_dir)
