@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tickloom.llm import _scan
 from tickloom.shipping import ship
 
-BITS, PER_CLASS, EPOCHS = 22, 6000, 10
+BITS, PER_CLASS, EPOCHS = 22, 4000, 10
 RATE, BETA, L1, L2 = 2.0, 1.0, 15.0, 0.1
 
 
@@ -54,9 +54,8 @@ def ftrl(rows: list[tuple[np.ndarray, int]], *, epochs: int = EPOCHS) -> tuple[n
             sigma = (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / RATE
             z[at] += g - sigma * w
             n[at] += g * g
-    w = weights(np.arange(size + 1), np.append(np.full(size, L1), 0.0))
-    places = np.flatnonzero(w[:size])
-    return places, w[places].astype(np.float32), float(w[size])
+    places = np.flatnonzero(np.abs(z[:size]) > L1)
+    return places, weights(places, L1).astype(np.float32), float(weights(np.array([size]), 0.0)[0])
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = PER_CLASS, epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray, float]:
@@ -78,7 +77,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     kind = texts.schema["id"].dataType.simpleString()
     got = texts.mapInArrow(run, f"h long, id {kind}, y int, at array<int>").toArrow()
     got = got.combine_chunks().sort_by([("h", "ascending"), ("id", "ascending")])
-    return ftrl([(at.values.to_numpy().astype(np.int64), y.as_py()) for at, y in zip(got["at"], got["y"])], epochs=epochs)
+    return ftrl([(at.values.to_numpy(), y.as_py()) for at, y in zip(got["at"], got["y"])], epochs=epochs)
 
 
 def predict(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], *, text_col: str = "text") -> DataFrame:
