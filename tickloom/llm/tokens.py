@@ -63,7 +63,7 @@ class Encoder:
                 ends.append(s)
             else:
                 new.append(s)
-        bases = {s[:-1] for s in ends} - known.keys() - set(new)
+        bases = {s[:-1] for s in ends}.difference(known, new)
         for b in [b for b in bases if b in older]:
             known[b] = older[b]
             bases.discard(b)
@@ -80,7 +80,7 @@ class Encoder:
             cut.append(own)
         if len(self.known) > self.most // 2:
             self.known, self.older = {}, self.known
-        self._learn(all_ - self.known.keys())
+        self._learn(all_.difference(self.known))
         get, out, odd = self.known.__getitem__, [], []
         for i, own in enumerate(cut):
             try:
