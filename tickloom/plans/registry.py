@@ -33,7 +33,7 @@ VIEWS = {
     "defs": "SELECT name, arg_max(fid, seq) AS fid, arg_max(first_line, seq) AS first_line, arg_max(last_line, seq) AS last_line FROM sub_info GROUP BY 1",
     "sites": "SELECT caller, called, fid, line, CAST(sum(calls) AS BIGINT) AS calls, sum(incl) AS incl, sum(excl) AS excl FROM sub_callers GROUP BY 1, 2, 3, 4",
     "usable": "SELECT s.* FROM sites s WHERE fid <> 0 AND line <> 0 AND (NOT (fid = 1 AND line = 1) OR EXISTS (SELECT 1 FROM defs d WHERE d.name = s.caller AND d.fid = 1 AND d.first_line = 1))",
-    "tree": "SELECT 'main::RUNTIME' AS caller, 'R::' || r_name AS called, 1 AS calls, 0.0 AS incl FROM region UNION ALL SELECT 'R::' || r_name, 'N::' || n_name, 1, 0.0 FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT 'N::' || n_name, 'S::f' || s_suppkey, s_suppkey % 9 + 1, s_suppkey % 50 + 1 FROM supplier JOIN nation ON s_nationkey = n_nationkey",
+    "tree": "SELECT 'main::RUNTIME' AS caller, 'R::' || r_name AS called, 1 AS calls, 0 AS incl FROM region UNION ALL SELECT 'R::' || r_name, 'N::' || n_name, 1, 0 FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT 'N::' || n_name, 'S::f' || s_suppkey, s_suppkey % 9 + 1, s_suppkey % 50 + 1 FROM supplier JOIN nation ON s_nationkey = n_nationkey",
     "kids": "SELECT e.caller, e.called, e.calls, CASE WHEN s.incl > 0 THEN s.incl WHEN e.incl > 0 THEN e.incl ELSE CAST(e.calls AS DOUBLE) END AS weight FROM edges e LEFT JOIN subs s ON s.name = e.called WHERE e.calls > 0 AND e.called <> '' AND e.caller <> e.called",
 }
 #: Which views a view is made of, in the order in which they have to stand.
