@@ -50,11 +50,11 @@ def queue(docs: DataFrame, *, weights: Column | None = None, budget: int | None
     rows = stage(docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{source_col}`").cast("string").alias("source"), F.when(F.col(f"`{text_col}`").isNull(), 0).otherwise(size).cast("long").alias("size"), h.alias("h")), "mix-rows")
     part = F.conv(F.substring("h", 1, 3), 16, 10).cast("int")  # PARTS of them
     rows = rows.withColumn("part", part)
-    parts = stage(rows.groupBy("source", "part").agg(F.sum("size").alias("part_size")), "mix-parts")
+    parts = stage(rows.groupBy("source", "part").agg(F.sum("size").alias("part_size")).coalesce(16), "mix-parts")  # of sums, at most PARTS a source
     sources = parts.groupBy("source").agg(F.sum("part_size").alias("source_size"))
-    sources = stage(sources.withColumn("weight", (by_code_point(sources) if weights is None else weights).cast("long")), "mix-sources")
+    sources = stage(sources.withColumn("weight", (by_code_point(sources) if weights is None else weights).cast("long")).coalesce(1), "mix-sources")
     total = sources.agg(F.sum("source_size")).first()[0] or 0
-    aims = stage(targets(sources, total if budget is None else budget, most), "mix-targets")
+    aims = targets(sources, total if budget is None else budget, most)
     before = F.coalesce(F.sum("part_size").over(Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     known = parts.withColumn("before", before).join(aims.withColumnRenamed("source", "a_source"), F.col("source").eqNullSafe(F.col("a_source")))
     known = known.select(F.col("source").alias("k_source"), F.col("part").alias("k_part"), "before", "source_size", "target")
