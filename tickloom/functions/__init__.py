@@ -76,21 +76,21 @@ def finite(value) -> Column:
 
 
 def compact_seconds(seconds) -> Column:
-    """Three significant digits with a unit: ns and µs without decimals, ms and s with up to two, s from 100 with none."""
+    """Three significant digits with a unit: ns and µs without decimals, ms and s with up to two, s from 100 with none. Halves go to even."""
     s = _c(seconds).cast("double")
     a = F.abs(s)
 
     def scaled(factor, unit):
         v = a * F.lit(factor)
         digits = F.length(F.floor(v).cast("string"))
-        return F.concat(F.when(digits >= 3, F.format_string("%.0f", v)).when(digits == 2, F.format_string("%.1f", v)).otherwise(F.format_string("%.2f", v)), F.lit(unit))
+        return F.concat(F.when(digits >= 3, F.format_string("%.0f", F.rint(v))).when(digits == 2, F.format_string("%.1f", F.rint(v * 10) / 10)).otherwise(F.format_string("%.2f", F.rint(v * 100) / 100)), F.lit(unit))
 
     text = (
-        F.when(a < 1e-6, F.concat(F.format_string("%.0f", a * 1e9), F.lit("ns")))
-        .when(a < 1e-3, F.concat(F.format_string("%.0f", a * 1e6), F.lit("µs")))
+        F.when(a < 1e-6, F.concat(F.format_string("%.0f", F.rint(a * 1e9)), F.lit("ns")))
+        .when(a < 1e-3, F.concat(F.format_string("%.0f", F.rint(a * 1e6)), F.lit("µs")))
         .when(a < 1, scaled(1e3, "ms"))
         .when(a < 100, scaled(1.0, "s"))
-        .otherwise(F.concat(F.format_string("%.0f", a), F.lit("s")))
+        .otherwise(F.concat(F.format_string("%.0f", F.rint(a)), F.lit("s")))
     )
     return F.when(F.isnan(s) | (a == F.lit(float("inf"))), format_ticks(s)).when(s == 0, F.lit("0s")).otherwise(F.concat(F.when(s < 0, F.lit("-")).otherwise(F.lit("")), text))
 
