@@ -15,6 +15,7 @@ _sent: set[str] = set()
 
 def ship(spark: SparkSession) -> None:
     """Send the package once to each application's executors, through the driver's own file server."""
+    _smaller_batches(spark)
     context = spark.sparkContext
     if context.applicationId in _sent:
         return
@@ -30,3 +31,12 @@ def ship(spark: SparkSession) -> None:
                         z.write(os.path.join(at, name), os.path.join("tickloom", os.path.relpath(os.path.join(at, name), top)))
         context.addPyFile(path)
     _sent.add(context.applicationId)
+
+
+def _smaller_batches(spark: SparkSession) -> None:
+    """Arrow batches of whole texts: Spark's defaults may hold 64 MB each, several times over in the JVM and in Python.
+    Settings that someone has changed are left."""
+    for key, default, value in (("maxRecordsPerBatch", "10000", "2000"), ("maxBytesPerBatch", "67108864b", "8m")):
+        key = f"spark.sql.execution.arrow.{key}"
+        if spark.conf.get(key) == default:
+            spark.conf.set(key, value)
