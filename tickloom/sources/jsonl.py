@@ -32,7 +32,7 @@ def _ok(tag: str) -> str:
 
 def _value(column: str) -> Column:
     cases = [f"WHEN '{tag}' THEN try_variant_get(rec, '$.args[{i}]', '{_CASTS[k]}')" for tag, args in schemas.TAGS.items() for i, (c, k) in enumerate(args) if c == column]
-    return F.expr(f"CASE tag {' '.join(cases)} END")
+    return F.expr(f"CASE raw_tag {' '.join(cases)} END")
 
 
 def read(spark: SparkSession, path: str, *, mode: str = "FAILFAST", profile: Column | None = None) -> DataFrame:
@@ -50,17 +50,19 @@ def read(spark: SparkSession, path: str, *, mode: str = "FAILFAST", profile: Col
 def parse(text: DataFrame, *, mode: str = "FAILFAST") -> DataFrame:
     """The same from rows (profile_id, raw); also for streams."""
     rows = text.where(F.trim("raw") != "").select("profile_id", "raw", F.expr("try_parse_json(raw)").alias("rec"))
-    rows = rows.select("*", F.expr("try_variant_get(rec, '$.tag', 'string')").alias("tag"), F.expr("try_variant_get(rec, '$.seq', 'bigint')").alias("seq"))
-    rows = rows.where(~F.col("tag").eqNullSafe(schemas.END))
-    known = F.expr("CASE tag " + " ".join(f"WHEN '{t}' THEN {_ok(t)}" for t in schemas.TAGS) + " ELSE false END") & (F.coalesce(F.col("seq"), F.lit(-1)) >= 0)
+    rows = rows.select("*", F.expr("try_variant_get(rec, '$.tag', 'string')").alias("raw_tag"), F.expr("try_variant_get(rec, '$.seq', 'bigint')").alias("seq"))
+    rows = rows.where(~F.col("raw_tag").eqNullSafe(schemas.END))
+    known = F.expr("CASE raw_tag " + " ".join(f"WHEN '{t}' THEN {_ok(t)}" for t in schemas.TAGS) + " ELSE false END") & (F.coalesce(F.col("seq"), F.lit(-1)) >= 0)
     known = F.coalesce(known, F.lit(False))
     if mode == "SKIP":
-        rows = rows.where(known)
+        rows = rows.where(known).withColumn("tag", F.col("raw_tag"))
     else:
-        rows = rows.where(F.when(known, True).otherwise(F.raise_error(F.concat(F.lit("bad event record: "), F.substring("raw", 1, 200))).cast("boolean")))
+        # within the tag itself: a filter beside it might be run after others, on what they have made of the tag
+        bad = F.raise_error(F.concat(F.lit("bad event record: "), F.substring("raw", 1, 200))).cast("string")
+        rows = rows.withColumn("tag", F.when(known, F.col("raw_tag")).otherwise(bad))
     values = {c: _value(c) for c in schemas.COLUMNS}
     if mode == "SKIP":
-        values["name"] = F.when(F.col("tag") == "NEW_FID", F.expr("try_variant_get(element_at(try_variant_get(rec, '$.args', 'array<variant>'), -1), '$', 'string')")).otherwise(values["name"])
+        values["name"] = F.when(F.col("raw_tag") == "NEW_FID", F.expr("try_variant_get(element_at(try_variant_get(rec, '$.args', 'array<variant>'), -1), '$', 'string')")).otherwise(values["name"])
     return rows.select("profile_id", "seq", "tag", *[v.alias(c) for c, v in values.items()])
 
 
