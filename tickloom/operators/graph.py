@@ -77,18 +77,16 @@ def flame_layout(edges: DataFrame, subs: DataFrame) -> DataFrame:
     kids = kids.select(F.col(P).alias("k_p"), F.col("caller").alias("k_caller"), F.col("called").alias("k_name"), F.col("calls").alias("k_calls"), F.col("weight").alias("k_weight"), "before", "children")
     order = Window.partitionBy(P).orderBy(F.desc("weight"), "name").rowsBetween(Window.unboundedPreceding, -1)
     roots = flame_roots(flame, subs).withColumn("total", F.sum("weight").over(Window.partitionBy(P))).withColumn("left", F.coalesce(F.sum("weight").over(order), F.lit(0.0)))
-    level = roots.select(P, F.lit(0).alias("depth"), "name", F.array("name").alias("path"), F.lit(True).alias("opens"), "calls", "weight", (F.col("left") / F.col("total") * WIDTH).alias("x"), (F.col("weight") / F.col("total") * WIDTH).alias("width"))
-    level = level.where(F.col("width") >= LEAST_WIDTH)
-    levels = [level]
-    for depth in range(1, MOST_DEPTH):
-        fit = F.col("width") * F.least(F.lit(1.0), F.col("children") / F.greatest("weight", "children"))
-        level = (
-            level.where("opens").join(kids, (F.col(P) == F.col("k_p")) & (F.col("name") == F.col("k_caller")))
-            .select(P, F.lit(depth).alias("depth"), F.col("k_name").alias("name"), F.concat("path", F.array("k_name")).alias("path"), (~F.array_contains("path", F.col("k_name"))).alias("opens"), F.col("k_calls").alias("calls"), F.col("k_weight").alias("weight"), (F.col("x") + F.col("before") / F.col("children") * fit).alias("x"), (F.col("k_weight") / F.col("children") * fit).alias("width"))
-            .where(F.col("width") >= LEAST_WIDTH)
-        )
-        levels.append(level)
-    return reduce(DataFrame.unionAll, levels).drop("opens")
+    roots = roots.select(P, F.lit(0).alias("depth"), "name", F.array("name").alias("path"), F.lit(True).alias("opens"), "calls", "weight", (F.col("left") / F.col("total") * WIDTH).alias("x"), (F.col("weight") / F.col("total") * WIDTH).alias("width"))
+    fit = "(width * least(1.0D, children / greatest(weight, children)))"
+    step = f"""WITH RECURSIVE frames({P}, depth, name, path, opens, calls, weight, x, width) AS (
+        SELECT * FROM {{roots}} WHERE width >= {LEAST_WIDTH}D
+        UNION ALL
+        SELECT {P}, depth + 1, k_name, concat(path, array(k_name)), NOT array_contains(path, k_name), k_calls, k_weight, x + before / children * {fit}, k_weight / children * {fit}
+        FROM frames JOIN {{kids}} ON {P} = k_p AND name = k_caller
+        WHERE opens AND depth < {MOST_DEPTH - 1} AND k_weight / children * {fit} >= {LEAST_WIDTH}D)
+        SELECT {P}, depth, name, path, calls, weight, x, width FROM frames"""
+    return edges.sparkSession.sql(step, roots=roots, kids=kids)
 
 
 def call_paths(graph: DataFrame, roots: DataFrame, depth: int = MOST_DEPTH) -> DataFrame:
