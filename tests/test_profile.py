@@ -240,3 +240,13 @@ def test_filters_and_columns_reach_the_scan(spark, events, tmp_path):
 
 def test_schema_covers_all_arguments():
     assert {c for a in schemas.TAGS.values() for c, _ in a} == set(schemas.COLUMNS) and set(wire_v5.LAYOUT) < set(schemas.TAGS)
+
+
+def test_known_keys_and_counting(spark, events):
+    from pyspark.sql import Observation
+
+    keys = events.where("tag IN ('ATTRIBUTE', 'OPTION')").select("key", fn.is_known_key("tag", "key").alias("known")).collect()
+    assert keys and all(r.known for r in keys)
+    seen = Observation("counts")
+    events.observe(seen, F.count("*").alias("records"), F.count_if(F.col("tag") == "TIME_LINE").alias("lines")).write.format("noop").mode("overwrite").save()
+    assert seen.get["lines"] == 18 and seen.get["records"] == events.count()

@@ -169,3 +169,13 @@ def display_mad(value) -> Column:
 
     middle = median(v)
     return median(F.array_sort(F.transform(v, lambda x: F.abs(x - middle))))
+
+
+#: Keys that attribute and option records are known to have.
+ATTRIBUTE_KEYS = ["basetime", "ticks_per_sec", "application", "xs_version", "perl_version", "nv_size", "PL_perldb", "clock_id", "cumulative_overhead_ticks"]
+OPTION_KEYS = ["calls", "blocks", "stmts", "compress", "usecputime", "subs", "leave", "expand", "trace", "use_db_sub", "clock", "slowops", "findcaller", "forkdepth", "perldb", "nameevals", "nameanonsubs", "evals"]
+
+
+def is_known_key(tag, key) -> Column:
+    """Whether the key of an ATTRIBUTE or OPTION record is a known one."""
+    return F.when(_c(tag) == "ATTRIBUTE", _c(key).isin(ATTRIBUTE_KEYS)).when(_c(tag) == "OPTION", _c(key).isin(OPTION_KEYS)).otherwise(F.lit(False))
