@@ -2,7 +2,7 @@
 
 Words are runs of bytes that a 256-entry table marks; multi-byte UTF-8 characters are kept whole as all their bytes
 are 0x80 or more. A word's hash is a polynomial over its bytes modulo 2**64, taken from prefix sums, then mixed.
-Byte-wide work goes in pieces of at most 2**20 bytes, so a very long text needs little more than its own size.
+Byte-wide work goes in pieces of at most 2**18 bytes, so a very long text needs little more than its own size.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 import xxhash
 
-PIECE = 1 << 20
+PIECE = 1 << 18
 _BASE = 0x9E3779B97F4A7C15
 _U = np.uint64
 
@@ -125,7 +125,7 @@ def texts(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return LOWER[buf], offsets - a
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20):
+def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 20):
     """Parts of a batch with about `most` bytes of text each, at least a row."""
     sizes = np.asarray(pa.compute.binary_length(batch.column(column)).fill_null(0)).astype(np.int64)
     ends, start, total = np.cumsum(sizes), 0, 0

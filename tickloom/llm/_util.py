@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -87,10 +89,21 @@ def grouped(df: DataFrame, keys: list[str], fn, schema: str) -> DataFrame:
             got = fn(held)
             if got is not None and len(got):
                 yield got
+        held = None
+        release()
 
     return df.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, schema)
 
 
+def release() -> None:
+    """Give what a task has freed back to the system: Python workers outlive tasks, and their memory counts."""
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        return
+
+
 class Forest:
     """Union-find over 0..n-1 in which the smallest member is the root."""
 

@@ -11,6 +11,8 @@ text, are united by a shuffle.
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -163,27 +165,48 @@ def decontaminate(docs: DataFrame, bench: DataFrame, *, n: int = 13, one_in: int
 
     A document without hits comes through untouched. Where a text is cut, length_col, if there, becomes its new length.
     """
-    columns = docs.columns
-    hit = scan(docs, bench, n=n).where(~contaminated(one_in))
+    columns, spark = docs.columns, docs.sparkSession
+    parts = list(itertools.islice(_parts(bench, n, "item_id", "text"), 1))
+    if parts[0][0] > 1:  # beyond the bound: hits come from a join, and the cut is a step of its own
+        hit = scan(docs, bench, n=n).where(~contaminated(one_in))
+
+        def cuts(batches):
+            for batch in batches:
+                for part in _scan.slices(batch, "text"):
+                    spans = [[(s["first"], s["after"]) for s in own] for own in part.column("spans").to_pylist()]
+                    yield _cut_rows(part.select(columns), spans, length_col)
+
+        return hit.select(*[f"`{c}`" for c in columns], "spans").mapInArrow(cuts, _ddl(docs))
+    ship(spark)
+    held = spark.sparkContext.broadcast(parts[0][1])
 
     def run(batches):
         for batch in batches:
             for part in _scan.slices(batch, "text"):
-                spans = part.column("spans").to_pylist()
-                rows = [i for i, s in enumerate(spans) if s]
-                if rows:
-                    raw, lengths = part.column("text").to_pylist(), part.column(length_col).to_pylist() if length_col in columns else None
-                    for i in rows:
-                        raw[i] = cut(raw[i], [(s["first"], s["after"]) for s in spans[i]])
-                        if lengths:
-                            lengths[i] = len(raw[i])
-                    for name, values in (("text", raw), (length_col, lengths)):
-                        if values is not None:
-                            at = part.schema.get_field_index(name)
-                            part = part.set_column(at, part.schema.field(at), pa.array(values, part.schema.field(at).type))
-                yield part.select(columns)
-
-    return hit.select(*[f"`{c}`" for c in columns], "spans").mapInArrow(run, _ddl(docs))
+                words, spans, _ = held.value.scan(*_scan.texts(part.column("text")))
+                sizes = np.diff(words.first)
+                own = [[tuple(s) for s in spans.get(d, ())] for d in range(len(part))]
+                hits = np.array([sum(b - a for a, b in s) for s in own], dtype=np.int64)
+                keep = np.flatnonzero((hits == 0) | (one_in * hits < sizes))
+                yield _cut_rows(part.take(pa.array(keep)), [own[i] for i in keep.tolist()], length_col)
+
+    return docs.mapInArrow(run, _ddl(docs))
+
+
+def _cut_rows(part: pa.RecordBatch, spans: list[list[tuple[int, int]]], length_col: str | None) -> pa.RecordBatch:
+    rows = [i for i, s in enumerate(spans) if s]
+    if rows:
+        raw = part.column("text").to_pylist()
+        lengths = part.column(length_col).to_pylist() if length_col in part.schema.names else None
+        for i in rows:
+            raw[i] = cut(raw[i], spans[i])
+            if lengths:
+                lengths[i] = len(raw[i])
+        for name, values in (("text", raw), (length_col, lengths)):
+            if values is not None:
+                at = part.schema.get_field_index(name)
+                part = part.set_column(at, part.schema.field(at), pa.array(values, part.schema.field(at).type))
+    return part
 
 
 def cut(text: str, spans: list[tuple[int, int]]) -> str:

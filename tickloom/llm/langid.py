@@ -12,6 +12,7 @@ is collected and broadcast has a fixed bound whatever the corpus.
 from __future__ import annotations
 
 import math
+import pickle
 import re
 
 import numpy as np
@@ -20,10 +21,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm import _scan
+from tickloom.llm._util import release, stage
 from tickloom.shipping import ship
 
 PER_LANGUAGE, MOST_WORDS, MOST_NGRAMS, MOST_LANGUAGES = 4000, 150_000, 100_000, 500
 NGRAM, BACKOFF, ALPHA = 4, math.log(0.4), 0.5
+#: Longer runs of letters are words like others, but no n-grams are learnt from them.
+LONGEST = 100
 UNKNOWN = "und"
 _LETTERS = re.compile(r"[^\W\d_]+").findall
 
@@ -39,15 +43,12 @@ def fit(train: DataFrame, *, text_col: str = "text", lang_col: str = "lang", per
     at = F.conv(F.substring(F.md5("text"), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
     sample = rows.where(F.col("lang").isin(langs)).where(at < share[F.col("lang")]).groupBy("lang", F.md5("text").alias("k")).agg(F.first("text").alias("text"))
     words = sample.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("g")).groupBy("g", "lang").agg(F.count("*").alias("c"))
-    words = words.persist()
-    try:
-        padded = F.concat(F.lit("^"), F.col("g"), F.lit("$"))
-        cuts = [F.transform(F.sequence(F.lit(1), F.greatest(F.length(padded) - n + 1, F.lit(1))), lambda i, n=n: F.substring(padded, i, F.lit(n))) for n in range(1, NGRAM + 1)]
-        grams = words.select("lang", "c", F.explode(F.concat(*cuts)).alias("g")).groupBy("g", "lang").agg(F.sum("c").alias("c"))
-        known_words, word_scores = _table(words, langs, MOST_WORDS, least=2)
-        known_grams, gram_scores = _table(grams, langs, MOST_NGRAMS, least=1)
-    finally:
-        words.unpersist()
+    words = stage(words, "word-counts")
+    padded = F.concat(F.lit("^"), F.col("g"), F.lit("$"))
+    cuts = [F.transform(F.sequence(F.lit(1), F.greatest(F.length(padded) - n + 1, F.lit(1))), lambda i, n=n: F.substring(padded, i, F.lit(n))) for n in range(1, NGRAM + 1)]
+    grams = words.where(F.length("g") <= LONGEST).select("lang", "c", F.explode(F.concat(*cuts)).alias("g")).groupBy("g", "lang").agg(F.sum("c").alias("c"))
+    known_words, word_scores = _table(words, langs, MOST_WORDS, least=2)
+    known_grams, gram_scores = _table(grams, langs, MOST_NGRAMS, least=1)
     return {"langs": langs, "words": known_words, "grams": known_grams, "word_scores": word_scores, "gram_scores": gram_scores}
 
 
@@ -109,24 +110,26 @@ class Scorer:
         return best, top
 
 
-def predict(docs: DataFrame, model: dict, *, text_col: str = "text") -> DataFrame:
-    """docs with lang_pred and score (0 to 1), which replace columns of those names.
+def predict(docs: DataFrame, model: dict, *, text_col: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """docs with lang_pred and score (0 to 1), or `names`, which replace columns of those names.
 
     lang_pred is `und` with score 0 where the text is null or has no letter, or the model has no language. Ties go to
     the first language in order. Texts are scored whole; equal texts score alike.
     """
     spark = docs.sparkSession
     ship(spark)
-    docs = docs.drop("lang_pred", "score")
-    held = spark.sparkContext.broadcast(model)
+    docs = docs.drop(*names)
+    held = spark.sparkContext.broadcast(pickle.dumps(model))  # bytes: a worker keeps what is broadcast after its task
 
     def run(batches):
         scorer = None
         for batch in batches:
             for part in _scan.slices(batch, text_col):
-                scorer = scorer or Scorer(held.value)
+                scorer = scorer or Scorer(pickle.loads(held.value))
                 best, top = scorer.score(part.column(text_col).to_pylist())
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(best, pa.string()), pa.array(top, pa.float64())], [*part.schema.names, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(best, pa.string()), pa.array(top, pa.float64())], [*part.schema.names, *names])
+        scorer = None
+        release()
 
     fields = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{fields}, lang_pred string, score double")
+    return docs.mapInArrow(run, f"{fields}, `{names[0]}` string, `{names[1]}` double")

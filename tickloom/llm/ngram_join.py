@@ -29,16 +29,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
 from tickloom.llm import _scan
-from tickloom.llm._util import Bloom, Forest, grouped, stage
+from tickloom.llm._util import Bloom, Forest, grouped, release, stage
 from tickloom.llm.components import components
 from tickloom.shipping import ship
 
 #: Most heavy hitters that are broadcast (8 bytes and a rank byte each). They only order prefixes; links don't depend on them.
 HOT_NGRAMS = 200_000
 #: Texts of one count of heavy hitters, in n-grams: n-grams in fewer than HOT_LEAST texts of a count are dropped from it.
-HOT_CHUNK, HOT_LEAST = 2_000_000, 3
+HOT_CHUNK, HOT_LEAST = 1_000_000, 3
 #: A tile has about this many classes, and n-grams, at most.
-TILE_ROWS, TILE_NGRAMS = 1024, 1_500_000
+TILE_ROWS, TILE_NGRAMS = 1024, 400_000
 
 
 def _sets(buf, offsets, k):
@@ -75,6 +75,8 @@ def _count_hot(k):
                         held, size = [], 0
         if held:
             yield flush()
+        held = []
+        release()
 
     return run
 
@@ -112,6 +114,7 @@ def _signatures(k, percent, hot, rank):
                     [pa.array(node, pa.binary()), pa.array(ids, pa.int64()), pa.array(size, pa.int32()), pa.array(prefix, pa.list_(pa.int64())), pa.array(bits, pa.binary())],
                     ["node", "doc_id", "n", "prefix", "bits"],
                 )
+        release()
 
     return run
 
@@ -287,7 +290,7 @@ def deduplicate(docs: DataFrame, *, n: int = 4, percent: int = 85, id_col: str =
 
     keyed = keyed.mapInArrow(run, StructType([*keyed.schema.fields, StructField("asked", BooleanType())]))
     free = keyed.where("NOT asked").select("row.*")
-    held = keyed.where("asked").join(ask, F.expr("key = a_key AND node <=> a_node"), "left").where("keep IS NULL OR keep")
+    held = stage(keyed.where("asked").join(ask, F.expr("key = a_key AND node <=> a_node"), "left").where("keep IS NULL OR keep").select("row", "key", "node", "keep"), "dedup-held")
     return free.unionByName(held.where("keep IS NULL").select("row.*")).unionByName(held.where("keep").dropDuplicates(["key", "node"]).select("row.*"))
 
 

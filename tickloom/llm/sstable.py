@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickloom.llm import _scan
-from tickloom.llm._util import filesystem, stage, workspace
+from tickloom.llm._util import filesystem, release, stage, workspace
 from tickloom.llm.tokens import encoder
 from tickloom.shipping import ship
 
@@ -187,11 +187,12 @@ class Reader:
 MANIFEST = "path string, low binary, high binary, documents long, ids long, bytes long"
 
 
-def write(docs: DataFrame, tokenizer: str, *, end_id: int = 2, shards: int | None = None, folder: str | None = None) -> DataFrame:
+def write(docs: DataFrame, tokenizer: str, *, end_id: int = 2, shards: int | None = None, folder: str | None = None, remember: int = 1_200_000, batch_bytes: int = 4 << 20, across_tasks: bool = True) -> DataFrame:
     """Encode docs (doc_id, text), range-partition by doc_id and write a shard for each range; the manifest.
 
     Null texts are empty, null ids come first, rows of one id stay together, ordered by text. `tokenizer` is the
-    tokenizer's JSON (about 2 MB, broadcast). An empty table gives an empty manifest.
+    tokenizer's JSON (about 2 MB, broadcast). A worker encodes batch_bytes of text at a time and remembers the ids of that
+    many stretches of text, about 250 bytes each, for later tasks too if across_tasks. An empty table gives an empty manifest.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -206,9 +207,9 @@ def write(docs: DataFrame, tokenizer: str, *, end_id: int = 2, shards: int | Non
     def run(batches):
         writer = None
         for batch in batches:
-            for part in _scan.slices(batch, "text"):
+            for part in _scan.slices(batch, "text", batch_bytes):
                 if writer is None:
-                    own = encoder(spec.value)
+                    own = encoder(spec.value, remember, across_tasks)
                     fs, root = filesystem(folder)
                     name = uuid.uuid4().hex
                     out = fs.open_output_stream(f"{root}/.{name}.part")
@@ -216,6 +217,9 @@ def write(docs: DataFrame, tokenizer: str, *, end_id: int = 2, shards: int | Non
                 end = struct.pack("<I", end_id)
                 for doc_id, ids in zip(part.column("doc_id").to_pylist(), own.encode(part.column("text").to_pylist())):
                     writer.add(key_of(doc_id), np.frombuffer(ids + end, dtype="<u4"))
+        if not across_tasks:
+            own = None
+            release()
         if writer is not None:
             writer.close()
             out.close()
