@@ -19,12 +19,15 @@ _FIRST = "\ud800"  # marks a text's first stretch; not a character of any text
 _encoders: dict[int, Encoder] = {}
 
 
-def encoder(spec: str) -> Encoder:
-    """One for each worker process and tokenizer, so that what it remembers outlives a task."""
-    key = hash(spec)
+def encoder(spec: str, most: int, across_tasks: bool) -> Encoder:
+    """One for each worker process and tokenizer, so that what it remembers outlives a task; or one for this task."""
+    if not across_tasks:
+        _encoders.clear()
+        return Encoder(spec, most)
+    key = hash((spec, most))
     if key not in _encoders:
         _encoders.clear()
-        _encoders[key] = Encoder(spec)
+        _encoders[key] = Encoder(spec, most)
     return _encoders[key]
 
 
@@ -51,18 +54,22 @@ class Encoder:
     def _learn(self, stretches: set[str]) -> None:
         """Ids of stretches as they stand in a text; None for one that doesn't begin and end at pieces' ends."""
         known, older = self.known, self.older
+        back = [s for s in stretches if s in older]
+        known.update(zip(back, map(older.__getitem__, back)))
         new, ends = [], []
-        for s in stretches:
-            if s in older:
-                known[s] = older[s]
-                continue
-            body = s[1:] if s[:1] in ("\n", _FIRST) else s
-            if not body or _BLANK(body):
-                known[s] = None
-            elif s[-1] in ".," and body[:-1].isalpha():
+        for s in stretches.difference(back) if back else stretches:
+            if s.isalpha():  # most are
+                new.append(s)
+            elif s and s[-1] in ".," and s[:-1].isalpha():
                 ends.append(s)
             else:
-                new.append(s)
+                body = s[1:] if s[:1] in ("\n", _FIRST) else s
+                if not body or _BLANK(body):
+                    known[s] = None
+                elif s[-1] in ".," and body[:-1].isalpha():
+                    ends.append(s)
+                else:
+                    new.append(s)
         bases = {s[:-1] for s in ends}.difference(known, new)
         for b in [b for b in bases if b in older]:
             known[b] = older[b]
