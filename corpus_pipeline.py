@@ -20,9 +20,9 @@ LEAST_SCORE = 0.5
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    columns = docs.columns
-    scored = langid.predict(docs.select(F.struct(*[f"`{c}`" for c in columns]).alias("row"), F.col("text")), langid.fit(docs))
-    return scored.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select("row.*")
+    names = ("_pipeline_lang", "_pipeline_score")
+    scored = langid.predict(docs, langid.fit(docs), names=names)
+    return scored.where((F.col(names[0]) != langid.UNKNOWN) & (F.col(names[1]) >= LEAST_SCORE)).drop(*names)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +38,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return sstable.digest(spark, sstable.write(docs, tokenizer_spec()))
+    return sstable.digest(spark, sstable.write(docs, tokenizer_spec(), remember=300_000, batch_bytes=1 << 20, across_tasks=False))
 
 
 STAGES = [
