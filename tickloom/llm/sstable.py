@@ -187,7 +187,7 @@ class Reader:
 MANIFEST = "path string, low binary, high binary, documents long, ids long, bytes long"
 
 
-def write(docs: DataFrame, tokenizer: str, *, end_id: int = 2, shards: int | None = None, folder: str | None = None, remember: int = 1_200_000, batch_bytes: int = 4 << 20, across_tasks: bool = True) -> DataFrame:
+def write(docs: DataFrame, tokenizer: str, *, end_id: int = 2, shards: int | None = None, folder: str | None = None, remember: int = 1_200_000, batch_bytes: int = 8 << 20, across_tasks: bool = True) -> DataFrame:
     """Encode docs (doc_id, text), range-partition by doc_id and write a shard for each range; the manifest.
 
     Null texts are empty, null ids come first, rows of one id stay together, ordered by text. `tokenizer` is the
