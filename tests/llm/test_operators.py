@@ -104,6 +104,14 @@ def test_deduplicate_keeps_one_of_each_group(spark, odd):
     assert len(kept) - len(with_words) == 3
 
 
+def test_deduplicate_with_null_and_shared_ids(spark):
+    """Documents that aren't linked all stay, though their ids are null or the same; linked ones leave one."""
+    a, b, c, d, e = (words(100, i) for i in range(40, 45))
+    rows = [(None, a, "s"), (None, a + " tail", "s"), (None, b, "s"), (None, b, "s"), (4, c, "s"), (4, d, "s"), (6, e, "s"), (6, e + " tail", "s"), (None, e + " end", "s")]
+    kept = [(r.doc_id, " ".join(r.text.split()[:100])) for r in ngram_join.deduplicate(docs_of(spark, rows)).collect()]
+    assert sorted(kept, key=repr) == sorted([(None, a), (None, b), (4, c), (4, d), (6, e)], key=repr)
+
+
 def plain_hits(rows, bench, n=13):
     items = [(i, ALNUM((t or "").translate(LOWER))) for i, t in bench]
     out = []

@@ -271,13 +271,14 @@ def ngram_join(docs: DataFrame, *, n: int = 4, percent: int = 85, id_col: str =
 def deduplicate(docs: DataFrame, *, n: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each group of linked documents: that of the smallest id; rows without words all stay.
 
+    Groups are told apart by their root, not by an id: ids may be null, or shared by documents that aren't linked.
     Rows that are the only one of their group, nearly all as a rule, aren't moved: a Bloom filter over the others lets
-    them through, and only what it holds back is joined with the decisions. Repeated rows of a kept id become one.
+    them through, and only what it holds back is joined with the decisions. Repeated rows of a kept id and text become one.
     """
-    found = stage(_classified(docs, n, percent, id_col, text_col).where("n_shingles > 0").groupBy("key", "node", "doc_id", "component_id").agg(F.count("*").alias("c")), "dedup")
-    kept = found.where("doc_id <=> component_id").groupBy("component_id").agg(F.min(F.struct("key", "node")).alias("k")).select(F.col("component_id").alias("kept_id"), "k.*")
-    kept = kept.select("kept_id", F.col("key").alias("kept_key"), F.col("node").alias("kept_node"))
-    ask = found.join(kept, F.expr("component_id <=> kept_id"), "left").withColumn("keep", F.expr("key <=> kept_key AND node <=> kept_node"))
+    found = stage(_classified(docs, n, percent, id_col, text_col).where("n_shingles > 0").groupBy("key", "node", "doc_id", "root", "component_id").agg(F.count("*").alias("c")), "dedup")
+    kept = found.where("doc_id <=> component_id").groupBy("root").agg(F.min(F.struct("key", "node")).alias("k")).select(F.col("root").alias("kept_root"), "k.*")
+    kept = kept.select("kept_root", F.col("key").alias("kept_key"), F.col("node").alias("kept_node"))
+    ask = found.join(kept, F.col("root") == F.col("kept_root"), "left").withColumn("keep", F.expr("key <=> kept_key AND node <=> kept_node"))
     ask = stage(ask.where("NOT keep OR c > 1").select(F.col("key").alias("a_key"), F.col("node").alias("a_node"), "keep"), "dedup-ask")
     text = F.col(f"`{text_col}`").cast("string")
     keyed = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("row"), F.xxhash64(F.col(f"`{id_col}`").cast("long"), text).alias("key"), F.unhex(F.md5(text)).alias("node"))
@@ -328,8 +329,8 @@ def _classified(docs: DataFrame, n: int, percent: int, id_col: str, text_col: st
     at = classes.select("node", "n", "doc_id").join(roots, "node", "left").select("node", "n", "doc_id", F.coalesce("root", "node").alias("root"))
     at = stage(at, "roots")
     least = at.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    at = at.join(least, "root").select("node", "n", "component_id")
+    at = at.join(least, "root").select("node", "n", "root", "component_id")
     own = docs.select("doc_id", F.unhex(F.md5("text")).alias("d_node"), F.xxhash64("doc_id", "text").alias("key"))
     return own.join(at, F.col("d_node") == F.col("node"), "left").select(
-        "doc_id", "key", F.col("d_node").alias("node"), F.coalesce("n", F.lit(0)).cast("long").alias("n_shingles"), F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
+        "doc_id", "key", "root", F.col("d_node").alias("node"), F.coalesce("n", F.lit(0)).cast("long").alias("n_shingles"), F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
     )
