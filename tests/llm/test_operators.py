@@ -207,6 +207,18 @@ def test_encoder_equals_library():
     assert [x for i in range(0, len(raw), 100) for x in e.encode(raw[i : i + 100])] == want
 
 
+def test_encoder_equals_library_as_loaded():
+    """Strings of added tokens are tokens, as in a freshly loaded tokenizer, wherever they stand in a text."""
+    from tokenizers import Tokenizer
+
+    library, e = Tokenizer.from_str(spec()), tokens.Encoder(spec(), 50)
+    rng = np.random.default_rng(2)
+    parts = [" ", "\n", "a", "é", ".", "\t", "<|endoftext|>", "<|endof", "text|>"]
+    raw = ["".join(rng.choice(parts, rng.integers(0, 20))) for _ in range(1000)] + ["end of a page<|endoftext|>next page", "<|endoftext|>", "a <|endoftext|>\nb", None]
+    want = [np.array(library.encode(t or "", add_special_tokens=False).ids, dtype="<u4").tobytes() for t in raw]
+    assert len(want[1000]) == 4 * 7 and [x for i in range(0, len(raw), 100) for x in e.encode(raw[i : i + 100])] == want
+
+
 def test_sstable_round_trip(spark, odd):
     manifest = sstable.write(odd, spec(), shards=3)
     e = tokens.Encoder(spec())

@@ -3,7 +3,8 @@
 A tokenizer of this family cuts a text in pieces before it merges bytes, and a piece takes at most one space, at its
 start. So a single space or newline between other characters always begins a piece, and the ids of a text are those of
 its stretches between such places, one after the other. Stretches repeat; each is given to the library once, as long as
-it is remembered. A text with any other white space goes to the library whole.
+it is remembered. A text with any other white space, or with the string of an added token, which the library cuts out
+before all else, goes to the library whole.
 """
 
 from __future__ import annotations
@@ -39,7 +40,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(spec)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.size = self.tokenizer.get_vocab_size()
         self.most = most
         self.known: dict[str, bytes | None] = {}
@@ -80,15 +81,19 @@ class Encoder:
             known[s] = known[s[:-1]] + known[_FIRST + s[-1]]
 
     def encode(self, raw: list[str | None]) -> list[bytes]:
-        cut, all_ = [], set()
-        for t in raw:
+        cut, all_, whole = [], set(), []
+        for i, t in enumerate(raw):
+            if t and any(map(t.__contains__, self.added)):
+                whole.append(i)
+                cut.append([])
+                continue
             own = f"{_FIRST}{t}".replace("\n", " \n").split(" ") if t else []
             all_.update(own)
             cut.append(own)
         if len(self.known) > self.most // 2:
             self.known, self.older = {}, self.known
         self._learn(all_.difference(self.known))
-        get, out, odd = self.known.__getitem__, [], []
+        get, out, odd = self.known.__getitem__, [], whole
         for i, own in enumerate(cut):
             try:
                 out.append(b"".join(map(get, own)))
