@@ -1,9 +1,9 @@
 """Corpus preparation as a chain of stages, each over all that its predecessor kept.
 
 Language ID drops documents without a letter or without a clear language; the n-gram join leaves one document of each
-group of near copies; decontamination drops documents that are largely benchmark text and cuts benchmark passages from
-the others; mixing repeats or leaves out documents until sources have their target weights; the last stage writes token
-ids as sorted string tables and returns what is read back.
+group of near copies, by 5 words and 0.8 (the query op3 has thresholds of its own); decontamination drops documents that
+are largely benchmark text and cuts benchmark passages from the others; mixing repeats or leaves out documents until
+sources have their target weights; the last stage writes token ids as sorted string tables and returns what is read back.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return ngram_join.deduplicate(docs)
+    return ngram_join.deduplicate(docs, n=5, percent=80)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

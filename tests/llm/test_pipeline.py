@@ -4,7 +4,7 @@ import corpus_pipeline as P
 from conftest import DATA, rows_of
 from test_operators import docs_of, plain_hits, plain_join, words
 
-from tickloom.llm import mixing, queries, sstable
+from tickloom.llm import mixing, ngram_join, queries, sstable
 from tickloom.llm._util import stage
 
 
@@ -36,5 +36,13 @@ def test_language_stage_rejects(spark):
     assert sorted(r.doc_id for r in P.language_id(spark, docs, DATA).collect()) == list(range(30))
 
 
+def test_near_duplicates_by_five_words_and_four_fifths(spark):
+    """A copy with a fifth more words: 396/476 of 5-word shingles are common, 397/477 (less than 0.85) of op3's."""
+    base = " ".join(f"b{i}" for i in range(400))
+    docs = docs_of(spark, [(1, base, "a"), (2, " ".join([base, *(f"f{i}" for i in range(80))]), "a"), (3, words(400, 3), "a")])
+    assert sorted(r.doc_id for r in P.near_duplicates(spark, docs, DATA).collect()) == [1, 3]
+    assert sorted(r.component_id for r in ngram_join.ngram_join(docs).collect()) == [1, 2, 3]
+
+
 def test_stages_are_the_named_ones():
     assert [n for n, _ in P.STAGES] == ["language ID", "n-gram Jaccard join", "benchmark decontamination", "mixing sources to target weights", "token-ID / binary output"]
