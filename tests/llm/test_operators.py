@@ -323,6 +323,16 @@ def test_language_held_out(spark, odd):
     assert langid.predict(empty(spark), model).count() == 0
 
 
+def test_language_sample_with_hot_copies(spark):
+    """The sample is of about per_language different texts, however often some of them are repeated."""
+    name = lambda k, i: k + "".join(chr(97 + int(c)) for c in f"{i:03d}")
+    rows = [("x", f"{w} {w}") for w in ["hotx"] * 5000 + [name("x", i) for i in range(200)]]
+    rows += [("y", f"{w} {w}") for w in [name("y", i) for i in range(3)] * 1000]
+    model = langid.fit(spark.createDataFrame(rows, "lang string, text string"), per_language=40)
+    learnt = [w for w in model["words"] if w != "hotx"]
+    assert 20 <= sum(w[0] == "x" for w in learnt) <= 70 and sum(w[0] == "y" for w in learnt) == 3
+
+
 def test_toxicity_held_out(spark, odd):
     rng = np.random.default_rng(0)
     rows, labels = [], []

@@ -35,7 +35,8 @@ _LETTERS = re.compile(r"[^\W\d_]+").findall
 def fit(train: DataFrame, *, text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> dict:
     """A model from rows whose text and language are not null; without any, it has no languages."""
     rows = train.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).dropna()
-    sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()}
+    texts = rows.select("lang", F.md5("text").alias("k")).distinct()  # copies don't thin out the sample
+    sizes = {r.lang: r["count"] for r in texts.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()}
     langs = sorted(sizes)
     if not langs:
         return {"langs": [], "words": {}, "grams": {}, "word_scores": None, "gram_scores": None}
