@@ -250,3 +250,21 @@ def test_known_keys_and_counting(spark, events):
     seen = Observation("counts")
     events.observe(seen, F.count("*").alias("records"), F.count_if(F.col("tag") == "TIME_LINE").alias("lines")).write.format("noop").mode("overwrite").save()
     assert seen.get["lines"] == 18 and seen.get["records"] == events.count()
+
+
+def test_html_has_all_rows(spark):
+    """More edges, definitions, blocks and subs of a file than any page's former limits."""
+    n = 2100
+    records = [("NEW_FID", [1, 0, 0, 0, 0, 0, "/w/a.pl"]), ("SRC_LINE", [1, 1, "the only line"])]
+    records += [("SUB_RETURN", [1, 2.0, 1.0, f"m::s{i:04d}"]) for i in range(n)] + [("SUB_INFO", [1, i + 1, i + 1, f"m::s{i:04d}"]) for i in range(n)]
+    records += [("SUB_CALLERS", [1, 1, 1, 0.5, 0.25, 0.0, 0, f"m::s{i:04d}", "m::top"]) for i in range(n)]
+    records += [("TIME_BLOCK", [3, 1, 1, i + 1, 0]) for i in range(n)]
+    p = Profile.of(events_of(spark, records))
+    pages = html.site(p, flame=False)
+    cells = [f"m::s{i:04d}" for i in range(n)]
+    for page in (pages["index.html"], one := html.summary(p, flame=False)):
+        calls, rest = page.split("<h2>Calls</h2>")[1].split("<h2>Definitions</h2>")
+        defs, blocks = rest.split("<h2>Blocks</h2>")
+        assert all(c in calls and c in defs for c in cells) and blocks.split("</table>")[0].count("<tr>") == n + 1
+    assert all(c in pages["file-1.html"].split("</table>")[0] for c in cells)
+    assert all(c in one.split("<h2>Calls</h2>")[0] for c in cells) and "the only line" in one

@@ -6,8 +6,10 @@ import html
 import os
 import shutil
 import uuid
+from collections.abc import Iterable
 from pathlib import Path
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom import functions as fn
@@ -59,7 +61,7 @@ def _page(title: str, body: list[str]) -> str:
     return f'<!DOCTYPE html>\n<html><head><meta charset="utf-8"><title>{html.escape(title)}</title><style>{STYLE}</style></head><body>\n<h1>{html.escape(title)}</h1>\n' + "\n".join(body) + f"\n<script>{_SORT}</script>\n</body></html>\n"
 
 
-def _table(heads: list[str], rows: list[list]) -> str:
+def _table(heads: list[str], rows: Iterable[list]) -> str:
     """Cells are text, or (value to sort by, text, heat), or (text, link)."""
 
     def cell(c) -> str:
@@ -73,13 +75,13 @@ def _table(heads: list[str], rows: list[list]) -> str:
     return "<table><thead><tr>" + "".join(f"<th>{html.escape(h)}</th>" for h in heads) + f"</tr></thead><tbody>\n{body}</tbody></table>"
 
 
-def _subs_table(p: Profile, scale, n: int | None = None, names: list[str] | None = None, links: dict[str, str] | None = None) -> str:
+def _subs_table(p: Profile, scale, n: int | None = None, names: DataFrame | None = None, links: dict[str, str] | None = None) -> str:
     subs = derived.sub_heat(p["SUB_RETURN"])
     if names is not None:
-        subs = subs.where(F.col("name").isin(names))
+        subs = subs.join(names, [P, "name"], "left_semi")
     subs = subs.join(derived.places_and_files(p["SUB_CALLERS"], agg.sub_defs(p)).withColumnRenamed("called", "name"), [P, "name"], "left")
     subs = subs.withColumn("excl_text", fn.time_cell("excl", scale)).withColumn("incl_text", fn.time_cell("incl", scale)).orderBy(F.desc("excl"), "name")
-    rows = (subs.limit(n) if n else subs).collect()
+    rows = (subs.limit(n) if n else subs).toLocalIterator()
     link = lambda name: (name, links[name]) if links and name in links else name
     return _table(["Calls", "P", "F", "Exclusive", "Inclusive", "Subroutine"], [[(r.returns, r.returns, ""), (r.places or 0, r.places or 0, ""), (r["files"] or 1, r["files"] or 1, ""), (r.excl, r.excl_text, r.excl_heat), (r.incl, r.incl_text, r.incl_heat), link(r["name"])] for r in rows])
 
@@ -90,18 +92,23 @@ def _scale(p: Profile):
 
 
 def summary(p: Profile, title: str = "Profile", flame: bool = True) -> str:
-    """One page: totals, top subs, edges, definitions, blocks and the flame."""
-    return _page(title, _index(p, flame, {}))
+    """One page: totals, all subs, edges, definitions, blocks, the flame and the primary file's source."""
+    primary = derived.primary_file(p).first()
+    fid = primary.fid if primary else 1
+    named = agg.files(p).where(F.col("fid") == fid).first()
+    source = [f"<h2>Source of {html.escape((named and named['name']) or f'fid {fid}')}</h2>", _source_table(p, fid, agg.sub_defs(p))]
+    return _page(title, _index(p, flame, {}) + source)
 
 
 def _index(p: Profile, flame: bool, links: dict[str, str], files: list | None = None) -> list[str]:
+    """All rows of each table; only with files, whose site has a page of all subs, are subs the top 15."""
     scale = _scale(p)
     t = derived.index_totals(p, p["SUB_RETURN"]).first()
     body = []
     if t:
         active = f"{t.active:g} s" if t.active is not None else f"{t.ticks} ticks"
         body.append(f"<p>{t.statements} statements and {t.sub_calls} subroutine calls in {t['files']} files, {active}.</p>")
-    body += ["<h2>Top 15 subroutines</h2>", _subs_table(p, scale, 15, links=links)]
+    body += ["<h2>Subroutines</h2>", _subs_table(p, scale)] if files is None else ["<h2>Top 15 subroutines</h2>", _subs_table(p, scale, 15, links=links)]
     if files is not None:
         totals = {r.fid: r for r in derived.with_heat(agg.file_totals(p), "ticks").withColumn("shown", fn.time_cell("ticks", scale)).collect()}
         rows = []
@@ -110,22 +117,21 @@ def _index(p: Profile, flame: bool, links: dict[str, str], files: list | None =
             rows.append([(r.calls, r.calls, "") if r else "-", (r.ticks, r.shown, r.heat) if r else "-", (f.name or f"fid {f.fid}", f"file-{f.fid}.html")])
         foot = agg.timings(p).agg(F.count("*").alias("c"), fn.saturating_sum("ticks").alias("t")).first()
         body += ["<h2>Files</h2>", _table(["Statements", "Exclusive", "File"], rows), f"<p>{foot.c} statements, {foot.t} ticks in all.</p>"]
-    edges = derived.with_heat(agg.call_edges(p["SUB_CALLERS"]), "excl").orderBy(F.desc("calls"), "caller", "called").limit(1000).collect()
+    edges = derived.with_heat(agg.call_edges(p["SUB_CALLERS"]), "excl").orderBy(F.desc("calls"), "caller", "called").toLocalIterator()
     body += ["<h2>Calls</h2>", _table(["Caller", "Called", "Count", "Inclusive", "Exclusive"], [[e.caller, e.called, (e.calls, e.calls, ""), (e.incl, e.incl, e.heat), (e.excl, e.excl, e.heat)] for e in edges])]
-    defs = agg.sub_defs(p).orderBy("name").limit(1000).collect()
+    defs = agg.sub_defs(p).orderBy("name").toLocalIterator()
     body += ["<h2>Definitions</h2>", _table(["Name", "File", "First", "Last"], [[d.name, d.fid, d.first_line, d.last_line] for d in defs])]
-    blocks = agg.block_totals(p).orderBy("fid", "block_line").limit(1000).collect()
+    blocks = [[b.fid, b.block_line, (b.calls, b.calls, ""), (b.ticks, b.ticks, "")] for b in agg.block_totals(p).orderBy("fid", "block_line").toLocalIterator()]
     if blocks:
-        body += ["<h2>Blocks</h2>", _table(["File", "Line", "Calls", "Ticks"], [[b.fid, b.block_line, (b.calls, b.calls, ""), (b.ticks, b.ticks, "")] for b in blocks])]
+        body += ["<h2>Blocks</h2>", _table(["File", "Line", "Calls", "Ticks"], blocks)]
     if flame:
         body += ["<h2>Flame</h2>", flame_svg(p, links).split("\n", 1)[1]]
     return body
 
 
-def _file_page(p: Profile, fid: int, name: str, primary: int, defs) -> str:
+def _source_table(p: Profile, fid: int, defs: DataFrame) -> str:
     scale = _scale(p)
     one = Profile({t: v.where(F.col("fid") == fid) if t in ("SRC_LINE", "TIME_LINE", "TIME_BLOCK") else v for t, v in ((t, p[t]) for t in p.views)})
-    names = [r["name"] for r in derived.subs_of_file(p["SUB_CALLERS"], p["SUB_RETURN"], defs, derived.primary_file(p)).where(F.col("fid") == fid).limit(2000).collect()]
     heat = {r.line: r for r in derived.line_heat(one).withColumn("shown", fn.time_cell("ticks", scale)).collect()}
     out_calls = {r.line: r for r in derived.calls_from_lines(p["SUB_CALLERS"], defs).where(F.col("fid") == fid).collect()}
     in_calls = {r.line: r for r in derived.calls_into_lines(p["SUB_CALLERS"], defs).where(F.col("fid") == fid).collect()}
@@ -134,7 +140,12 @@ def _file_page(p: Profile, fid: int, name: str, primary: int, defs) -> str:
         h, o, i = heat.get(r.line), out_calls.get(r.line), in_calls.get(r.line)
         notes = [f"# called by {i.callers}" if i else "", r.text or "", f"# calls {o.callees}" if o else ""]
         rows.append([r.line, (r.calls, r.calls, h.calls_heat) if h else "-", (r.ticks, h.shown, h.ticks_heat) if h else "-", (o.calls, o.calls, "") if o else "-", (o.incl, o.incl, "") if o else "-", " ".join(n for n in notes if n)])
-    body = ['<p><a href="index.html">Index</a></p>', _subs_table(p, scale, names=names), _table(["Line", "Statements", "Time", "Calls", "Time in subs", "Code"], rows)]
+    return _table(["Line", "Statements", "Time", "Calls", "Time in subs", "Code"], rows)
+
+
+def _file_page(p: Profile, fid: int, name: str, primary: int, defs: DataFrame) -> str:
+    names = derived.subs_of_file(p["SUB_CALLERS"], p["SUB_RETURN"], defs, derived.primary_file(p)).where(F.col("fid") == fid)
+    body = ['<p><a href="index.html">Index</a></p>', _subs_table(p, _scale(p), names=names), _source_table(p, fid, defs)]
     if fid == primary:
         stubs = derived.undefined_calls(p["SUB_CALLERS"], defs).orderBy("called").collect()
         body += ["<h2>Built-in operations</h2>", "".join(f'<p id="{html.escape(s.called)}">{html.escape(s.called)}: {s.calls} calls</p>' for s in stubs)]
@@ -150,9 +161,10 @@ def check_folder(out: str) -> Path:
 def site(p: Profile, title: str = "Profile", flame: bool = True) -> dict[str, str]:
     """Name -> text of a site of one profile."""
     defs = agg.sub_defs(p)
-    files = derived.eligible_files(p).join(agg.files(p), [P, "fid"]).select("fid", "name").orderBy("fid").collect()
+    listed = derived.eligible_files(p).join(agg.files(p), [P, "fid"])
+    files = listed.select("fid", "name").orderBy("fid").collect()
     primary = derived.primary_file(p).first()
-    at = {r["name"]: f"file-{r.fid}.html#L{r.first_line}" for r in defs.where(F.col("fid").isin([f.fid for f in files])).limit(100_000).collect()}
+    at = {r["name"]: f"file-{r.fid}.html#L{r.first_line}" for r in defs.join(listed, [P, "fid"], "left_semi").toLocalIterator()}
     out = {"index.html": _page(title, _index(p, flame, at, files)), "subs.html": _page(f"{title}: subroutines", [_subs_table(p, _scale(p), links=at)]), "packages.dot": text.dot(p, packages=True), "subs.dot": text.dot(p)}
     for f in files:
         out[f"file-{f.fid}.html"] = _file_page(p, f.fid, f.name or f"fid {f.fid}", primary.fid if primary else 1, defs)
