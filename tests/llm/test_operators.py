@@ -333,6 +333,14 @@ def test_language_sample_with_hot_copies(spark):
     assert 20 <= sum(w[0] == "x" for w in learnt) <= 70 and sum(w[0] == "y" for w in learnt) == 3
 
 
+def test_too_many_languages_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MOST_LANGUAGES", 2)
+    train = spark.createDataFrame([(x, f"{x} word word") for x in "abc"], "lang string, text string")
+    assert langid.fit(train.where("lang <> 'c'"))["langs"] == ["a", "b"]
+    with pytest.raises(ValueError):
+        langid.fit(train)
+
+
 def test_toxicity_held_out(spark, odd):
     rng = np.random.default_rng(0)
     rows, labels = [], []

@@ -6,7 +6,7 @@ are added instead. The sum over a text's words, divided by the root of their num
 
 The model is fitted on a bounded sample: per language about `per_language` different texts, chosen by a hash of the
 text. Words and n-grams are counted by Spark; the most frequent MOST_WORDS and MOST_NGRAMS are kept, so the model that
-is collected and broadcast has a fixed bound whatever the corpus.
+is collected and broadcast has a fixed bound whatever the corpus. More than MOST_LANGUAGES languages are an error.
 """
 
 from __future__ import annotations
@@ -36,7 +36,9 @@ def fit(train: DataFrame, *, text_col: str = "text", lang_col: str = "lang", per
     """A model from rows whose text and language are not null; without any, it has no languages."""
     rows = train.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).dropna()
     texts = rows.select("lang", F.md5("text").alias("k")).distinct()  # copies don't thin out the sample
-    sizes = {r.lang: r["count"] for r in texts.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()}
+    sizes = {r.lang: r["count"] for r in texts.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()}
+    if len(sizes) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages in {lang_col}")
     langs = sorted(sizes)
     if not langs:
         return {"langs": [], "words": {}, "grams": {}, "word_scores": None, "gram_scores": None}
