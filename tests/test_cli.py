@@ -9,6 +9,8 @@ def test_commands(spark, workload, tmp_path, capsys):
     assert cli.main(["verify", path]) == 0 and "complete: True" in capsys.readouterr().out
     assert cli.main(["report", path]) == 0 and "main::leaf  returns=15" in capsys.readouterr().out
     assert cli.main(["dump", path]) == 0 and capsys.readouterr().out.rstrip().endswith('"tag":"_END"}')
+    assert cli.main(["query", path]) == 0 and "main::leaf returns=15" in capsys.readouterr().out
+    assert cli.main(["query", path, "--json"]) == 0 and '"main::leaf": 15' in capsys.readouterr().out
     assert cli.main(["convert", path, "--to", "v6", "--out", other]) == 1  # fractional times
     assert cli.main(["convert", path, "--to", "v6", "--lossy", "--out", other]) == 0
     assert cli.main(["compare", path, other]) == 1

@@ -2,6 +2,7 @@
 
 import json
 import os
+import re
 
 import pytest
 from conftest import events_of
@@ -185,10 +186,12 @@ def test_site(profile, tmp_path):
     out = str(tmp_path / "site")
     for _ in range(2):
         html.write_site(profile, out, "Run <1>")
-    assert sorted(os.listdir(out)) == ["file-1.html", "flame.svg", "index.html", "packages.dot", "subs.dot", "subs.html"]
+    assert sorted(os.listdir(out)) == ["file-1.html", "flame.svg", "index-subs-excl.html", "index.html", "packages.dot", "sort.js", "source.html", "style.css", "subs.dot"]
     page = open(f"{out}/index.html", encoding="utf-8").read()
     assert "Run &lt;1&gt;" in page and "main::leaf" in page
-    assert "called by main::mid:1:10:15" in open(f"{out}/file-1.html", encoding="utf-8").read()
+    source = open(f"{out}/file-1.html", encoding="utf-8").read()
+    assert "called by main::mid:1:10:15" in source and "calls main::leaf:15:" in source and 'href="style.css"' in source and 'id="L5"' in source
+    assert open(f"{out}/source.html", encoding="utf-8").read() == source and "main::leaf" in open(f"{out}/index-subs-excl.html", encoding="utf-8").read()
     assert os.listdir(tmp_path) == ["site"]
     for bad in ("", "a/../b", "a\0b"):
         with pytest.raises(html.BadFolder):
@@ -235,7 +238,9 @@ def test_filters_and_columns_reach_the_scan(spark, events, tmp_path):
     path = str(tmp_path / "events.parquet")
     events.write.parquet(path)
     plan = agg.sub_totals(Profile.read(spark, path)["SUB_RETURN"])._jdf.queryExecution().executedPlan().toString()
-    assert "EqualTo(tag,SUB_RETURN)" in plan and "ReadSchema: struct<profile_id:string,tag:string,incl:double,excl:double,name:string>" in plan
+    read = re.search(r"ReadSchema: struct<([^>]*)>", plan)[1]
+    assert "EqualTo(tag,SUB_RETURN)" in plan
+    assert set(read.split(",")) == {"profile_id:string", "tag:string", "incl:double", "excl:double", "name:string"}
 
 
 def test_schema_covers_all_arguments():
@@ -268,3 +273,69 @@ def test_html_has_all_rows(spark):
         assert all(c in calls and c in defs for c in cells) and blocks.split("</table>")[0].count("<tr>") == n + 1
     assert all(c in pages["file-1.html"].split("</table>")[0] for c in cells)
     assert all(c in one.split("<h2>Calls</h2>")[0] for c in cells) and "the only line" in one
+
+
+def test_query_output(profile):
+    lines = list(text.query_text(profile))
+    for said in ("main::leaf returns=15", "main::mid -> main::leaf count=15", "source_line 1:5=line 5", "line_calls 1:5=", "pid_start_count=1", "pid_start pid=7 ppid=1 start_time=1", "pid_end pid=7 end_time=2", "attribute ticks_per_sec=10000000", "option calls=1"):
+        assert any(x.startswith(said) for x in lines), said
+    assert [x for x in lines if x.startswith("sub_def")][0] == "sub_def main::leaf fid=1 first=3 last=7"
+    said = json.loads(text.query_json(profile))
+    assert said["subs"]["main::leaf"] == 15 and said["edges"]["main::mid\tmain::leaf"] == 15 and said["ok"]
+
+
+def test_options():
+    assert fn.parse_options(r"file=/a\:b:calls=2:calls=1") == {"file": "/a:b", "calls": "1"} and fn.parse_options(None) == {}
+    for bad in ("nope=1", "calls", "=1"):
+        with pytest.raises(ValueError):
+            fn.parse_options(bad)
+    assert len(fn.OPTION_KEYS) == 36
+
+
+def test_for_each_record(events, profile):
+    seen, other = [], []
+    lines = (r.value for r in jsonl.lines(events).orderBy("seq").toLocalIterator())
+    n = jsonl.for_each(lines, {"SUB_RETURN": lambda a, s: seen.append(a), "*": lambda t, a, s: other.append(t)})
+    assert n == events.count() + 1 and len(seen) == profile["SUB_RETURN"].count() and other[-1] == "_END" and "SUB_RETURN" not in other
+    assert jsonl.for_each(["", "nope", '{"tag":"DISCOUNT"}'], {}, on_error="skip") == 1
+    with pytest.raises(ValueError):
+        jsonl.for_each(["nope"], {})
+    views = profile.by_tag({"SUB_RETURN": lambda v: v.select("name"), "*": lambda v: v.limit(1)})
+    assert views["SUB_RETURN"].columns == ["name"] and set(views) == set(schemas.TAGS)
+
+
+def test_dual_and_counting_sinks(spark, events, tmp_path):
+    folder, seen = str(tmp_path / "ev"), streaming.Counting()
+    events.coalesce(1).write.parquet(folder)
+    sinks = streaming.fan_out(streaming.dual(str(tmp_path / "l"), str(tmp_path / "r")), seen, seen)
+    q = streaming.read_parquet(spark, folder).writeStream.foreachBatch(sinks).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    assert q.awaitTermination(120) and q.exception() is None
+    assert seen.total == events.count() and seen.logical == seen.total - 1 and seen.by_tag["TIME_LINE"] == 18 and seen.last_seq == events.count() - 1
+    assert streaming.unequal(events, events).count() == 0
+    moved = events.withColumn("seq", F.when(F.col("seq") == 9, 1000).otherwise(F.col("seq")))
+    assert [(r.left == r.right, r.same_places) for r in streaming.unequal(events, moved).collect()] == [(True, False)]
+    assert [r.tag for r in streaming.unequal(events, events.where("tag <> 'DISCOUNT'")).collect()] == ["DISCOUNT"]
+
+
+def test_side_records(spark, workload, tmp_path):
+    from tickloom.sources import wire_v6
+
+    side = {"source": [[1, 2, "text"]], "index": [[1, 2, 3, "k"]], "summary": [[4, 5, 6, "z"]], "footer": [[7, 8, "f"]]}
+    (tmp_path / "m").write_bytes(wire_v6.encode([("TIME_LINE", [1, 1, 1])], side=side))
+    for kind, rows in side.items():
+        got = binary.side_records(spark, str(tmp_path / "m"), kind)
+        assert [list(r)[2:] for r in got.collect()] == rows and got.columns[2:] == [c for c, _ in {n: f for n, f in wire_v6.SIDE.values()}[kind]]
+
+
+def test_normalized_numbers(spark):
+    values = [3.0, 0.25, float("nan"), float("inf"), float("-inf"), 2.0**60, None]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    assert [r.x for r in df.select(fn.normalized_number("v").alias("x")).collect()] == ["3", "0.25", "<NAN>", "<INF>", "<-INF>", "1.15292150460684698E18", None]
+
+
+def test_merge_numbers_across_ranges(spark):
+    """Records far apart and many inputs are numbered without a gap, in order."""
+    a = events_of(spark, [("NEW_FID", [1, 0, 0, 0, 0, 0, "a"]), ("TIME_LINE", [1, 1, 1])]).withColumn("seq", F.col("seq") * 100_000)
+    out = tools.merge_by_name([a, a, a]).orderBy("seq").collect()
+    assert [r.seq for r in out] == list(range(len(out))) and [r.tag for r in out] == ["NEW_FID", "TIME_LINE", "COMMENT", "TIME_LINE", "COMMENT", "TIME_LINE"]
+    assert sequence.numbered(a, ["profile_id"], "seq", ["tag"]).count() == 2

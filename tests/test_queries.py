@@ -42,9 +42,9 @@ def test_cyclic_flame_layout(spark, duck):
 
     for r in roots:
         walk(r, weight[r], weight[r] / total * 1200, 0, [])
-    got = [(r.depth, r.path, r.width) for r in Q["flame_layout_cyclic"](spark, DATA).collect()]
+    got = [(r.depth, r.path, r.width_milli / 1000) for r in Q["flame_layout_cyclic"](spark, DATA).collect()]
     assert [x[:2] for x in sorted(got)] == [x[:2] for x in sorted(found)]
-    assert all(abs(a[2] - b[2]) < 1e-4 for a, b in zip(sorted(got), sorted(found)))
+    assert all(abs(a[2] - b[2]) < 2e-3 for a, b in zip(sorted(got), sorted(found)))
 
 
 def test_entry(spark):
@@ -53,12 +53,14 @@ def test_entry(spark):
     assert e.entry(spark).count() == 10
 
 
-def test_imports_without_the_optional_part():
-    """The entry module works where the subpackage and the pipeline are gone."""
+@pytest.mark.parametrize("gone", ["'corpus_pipeline', 'tickloom.llm'", "'xxhash',"])
+def test_imports_without_the_optional_part(gone):
+    """The entry module works where the subpackage and the pipeline are gone, or a library that they alone need."""
     import subprocess
     import sys
 
-    code = "import sys; sys.modules['corpus_pipeline'] = None\nimport importlib.abc\nclass F(importlib.abc.MetaPathFinder):\n def find_spec(self, n, p, t=None):\n  if n in ('corpus_pipeline', 'tickloom.llm'): raise ModuleNotFoundError(n, name=n)\nsys.modules.pop('corpus_pipeline'); sys.meta_path.insert(0, F())\nimport __spark_entry__ as e\nassert 'top_lines' in e.queries() and not any(k.startswith('op') for k in e.queries())"
+    code = "import re, sys; import importlib.abc\nclass F(importlib.abc.MetaPathFinder):\n def find_spec(self, n, p, t=None):\n  if n in (GONE): raise ModuleNotFoundError(n, name=n)\nsys.meta_path.insert(0, F())\nimport __spark_entry__ as e\nassert 'top_lines' in e.queries() and not any(re.match(r'op\\d+_', k) for k in e.queries())"
+    code = code.replace("GONE", gone)
     import os
 
     top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))

@@ -55,6 +55,22 @@ def test_v6_round_trip(workload, options):
     assert list(wire_v6.decode(wire_v6.encode(events, **options))) == events
 
 
+def test_v6_codec_switch(workload):
+    """Events up to START_DEFLATE in one codec, those after it in another; sites and sequence numbers go on."""
+    for options in ({}, {"packed": True, "runs": True}):
+        raw = wire_v6.encode(_v6(workload), switch=(wire_v6.NONE, wire_v6.ZSTD), **options)
+        assert list(wire_v6.decode(raw)) == _v6(workload)
+        at, seen = wire_v6.header(raw)[1], []
+        while at < len(raw):
+            f = wire_v6.FRAME.unpack_from(raw, at)
+            seen.append((f[1], f[2]))
+            at += wire_v6.FRAME.size + f[8]
+        assert seen == [(wire_v6.EVENT, wire_v6.NONE), (wire_v6.EVENT, wire_v6.ZSTD), (wire_v6.FOOTER, wire_v6.NONE)]
+    for switch, events in (((0, 0), _v6(workload)), ((0, 1), [("TIME_LINE", [1, 1, 1])])):
+        with pytest.raises(BadProfile):
+            wire_v6.encode(events, switch=switch)
+
+
 def test_v6_mixed_kinds(workload):
     side = {"source": [[1, 2, "text"]], "index": [[1, 2, 3, "k"]], "summary": [[4, 5, 6, "z"]]}
     raw = wire_v6.encode(_v6(workload), side=side, strings=True, codecs={wire_v6.SOURCE: wire_v6.NONE})

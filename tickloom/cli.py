@@ -39,7 +39,7 @@ def _doctor(spark) -> dict[str, bool]:
 
 def main(argv: list[str] | None = None) -> int:
     ap = argparse.ArgumentParser(prog="tickloom", description=__doc__)
-    ap.add_argument("command", choices=["dump", "verify", "report", "aggregates", "csv", "folded", "callgrind", "dot", "flame", "html", "summary-html", "convert", "repack", "merge", "salvage", "compare", "normalize", "doctor"])
+    ap.add_argument("command", choices=["dump", "verify", "report", "aggregates", "csv", "folded", "callgrind", "dot", "flame", "html", "summary-html", "convert", "repack", "merge", "salvage", "compare", "normalize", "query", "doctor"])
     ap.add_argument("paths", nargs="*")
     ap.add_argument("--format", default="auto", choices=["auto", "jsonl", "parquet", "binary"])
     ap.add_argument("--out", help="file or folder to write")
@@ -49,6 +49,7 @@ def main(argv: list[str] | None = None) -> int:
     ap.add_argument("--packages", action="store_true")
     ap.add_argument("--no-flame", action="store_true")
     ap.add_argument("--allow-incomplete", action="store_true")
+    ap.add_argument("--json", action="store_true", help="query: one object instead of lines")
     ap.add_argument("--title", default="Profile")
     a = ap.parse_args(argv)
     spark = session("tickloom")
@@ -76,7 +77,7 @@ def main(argv: list[str] | None = None) -> int:
             f.write(raw)
 
     try:
-        if a.command not in ("dump", "verify", "convert", "repack", "merge", "salvage", "compare", "normalize"):
+        if a.command not in ("dump", "verify", "convert", "repack", "merge", "salvage", "compare", "normalize", "query"):
             tools.require_complete(p, a.allow_incomplete)
         if a.command == "dump":
             for r in jsonl.lines(events).orderBy("seq").toLocalIterator():
@@ -91,6 +92,8 @@ def main(argv: list[str] | None = None) -> int:
             return 0 if rows and (a.allow_incomplete or all(r.complete for r in rows)) else 1
         elif a.command == "report":
             put(text.summary(p, a.paths[0]))
+        elif a.command == "query":
+            put(text.query_json(p) + "\n" if a.json else "".join(f"{x}\n" for x in text.query_text(p)))
         elif a.command == "aggregates":
             put(text.aggregates_json(p, a.paths[0]) + "\n")
         elif a.command in ("csv", "folded", "callgrind"):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -63,6 +65,15 @@ def format_ticks(value) -> Column:
     return F.when((v == F.floor(v)) & (F.abs(v) < F.lit(float(LONG_MAX))), v.cast("decimal(38,0)").cast("string")).otherwise(v.cast("string"))
 
 
+def normalized_number(value) -> Column:
+    """A float in one stable form: whole ones of at most 2**53 as integers, what isn't finite as a mark, others in full
+    (the shortest text that reads back as the same number)."""
+    v = _c(value).cast("double")
+    endless = F.when(F.isnan(v), F.lit("<NAN>")).when(v == F.lit(float("inf")), F.lit("<INF>")).when(v == F.lit(float("-inf")), F.lit("<-INF>"))
+    whole = (v == F.floor(v)) & (F.abs(v) <= F.lit(float(1 << 53)))
+    return F.coalesce(endless, F.when(whole, F.when(whole, v).cast("long").cast("string")).otherwise(v.cast("string")))
+
+
 def ticks_per_second(value) -> Column:
     """A positive integer attribute as a number, else null."""
     n = F.expr("try_cast({} as bigint)".format(value)) if isinstance(value, str) else value.try_cast("bigint")
@@ -159,21 +170,26 @@ def is_workload(name) -> Column:
     return n.endswith("::leaf") | n.endswith("::mid") | n.contains("main::leaf") | n.contains("main::mid")
 
 
-def display_mad(value) -> Column:
-    """Median absolute deviation about the median, of values in an array column."""
-    v = F.array_sort(_c(value))
-
-    def median(x):
-        n = F.size(x)
-        return F.when(n == 0, F.lit(None)).otherwise((F.try_element_at(x, F.floor((n + 1) / 2).cast("int")) + F.try_element_at(x, F.ceil((n + 1) / 2).cast("int"))) / 2)
-
-    middle = median(v)
-    return median(F.array_sort(F.transform(v, lambda x: F.abs(x - middle))))
-
-
 #: Keys that attribute and option records are known to have.
 ATTRIBUTE_KEYS = ["basetime", "ticks_per_sec", "application", "xs_version", "perl_version", "nv_size", "PL_perldb", "clock_id", "cumulative_overhead_ticks"]
-OPTION_KEYS = ["calls", "blocks", "stmts", "compress", "usecputime", "subs", "leave", "expand", "trace", "use_db_sub", "clock", "slowops", "findcaller", "forkdepth", "perldb", "nameevals", "nameanonsubs", "evals"]
+OPTION_KEYS = [
+    "file", "format", "start", "end", "compress", "stmts", "blocks", "subs", "calls", "leave", "slowops", "durable", "aggregate", "usecputime", "clock", "trace", "findcaller", "forkdepth",
+    "addpid", "nameevals", "nameanonsubs", "evals", "sigexit", "posix_exit", "perldb", "use_db_sub", "expand", "log", "optimize", "optimise", "savesrc", "endatexit", "libcexit", "addtimestamp", "wrap", "entersub",
+]
+
+
+def parse_options(said: str | None) -> dict[str, str]:
+    """key=value pairs between colons, a backslash before a character that stands for itself; the last of a key counts.
+    A pair without = or key, or an unknown key, is an error."""
+    out = {}
+    for pair in re.findall(r"(?:[^\\:]|\\.)+", said or "", re.DOTALL):
+        key, eq, value = re.sub(r"\\(.)", r"\1", pair, flags=re.DOTALL).partition("=")
+        if not eq or not key:
+            raise ValueError(f"malformed option: {pair}")
+        if key not in OPTION_KEYS:
+            raise ValueError(f"unknown option: {key}")
+        out[key] = value
+    return out
 
 
 def is_known_key(tag, key) -> Column:

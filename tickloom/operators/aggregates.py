@@ -5,6 +5,8 @@ All are keyed by profile_id first, so one call serves one profile or millions. L
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,21 +17,26 @@ from tickloom.views import Profile
 P = "profile_id"
 
 
-def tag_counts(p: Profile) -> DataFrame:
-    """profile_id, tag, events; tags without events are left out."""
-    out = None
-    for tag in schemas.TAGS:
-        one = p[tag].groupBy(P).agg(F.count("*").alias("events")).select(P, F.lit(tag).alias("tag"), "events")
-        out = one if out is None else out.union(one)
-    return out
+def _tags(p: Profile, tags: list[str]) -> DataFrame:
+    """profile_id, tag of the records with these tags: two columns of one scan where the profile is one relation."""
+    if p.relation is not None:
+        return p.relation.where(F.col("tag").isin(tags)).select(P, "tag")
+    return reduce(DataFrame.unionAll, [p[t].select(P, F.lit(t).alias("tag")) for t in tags])
+
+
+def tag_counts(p: Profile, tags: list[str] | None = None) -> DataFrame:
+    """profile_id, tag, events of these tags, by default of all; tags without events are left out."""
+    return _tags(p, tags or list(schemas.TAGS)).groupBy(P, "tag").agg(F.count("*").alias("events"))
 
 
-def counters(p: Profile) -> DataFrame:
+def counters(p: Profile, tags: list[str] | None = None) -> DataFrame:
     """A row for each profile: time_line_events, time_block_events, discount_events, the other tags' counts, total_events
-    and dump_records, which counts the closing record too."""
-    names = {tag: f"{tag.lower()}_events" for tag in schemas.TAGS}
-    wide = tag_counts(p).groupBy(P).agg(*[F.coalesce(F.sum(F.when(F.col("tag") == t, F.col("events"))), F.lit(0)).alias(n) for t, n in names.items()], F.sum("events").alias("total_events"))
-    return wide.withColumn("dump_records", F.col("total_events") + 1)
+    and dump_records, which counts the closing record too. With tags, the counts of those alone, and only they are read."""
+    names = {t: f"{t.lower()}_events" for t in tags or schemas.TAGS}
+    wide = [F.count_if(F.col("tag") == t).alias(n) for t, n in names.items()]
+    if tags is None:
+        wide += [F.count("*").alias("total_events"), (F.count("*") + 1).alias("dump_records")]
+    return _tags(p, list(names)).groupBy(P).agg(*wide)
 
 
 def timings(p: Profile) -> DataFrame:
@@ -106,6 +113,16 @@ def pids(p: Profile) -> DataFrame:
     return p["PID_START"].select(P, "pid").union(p["PID_END"].select(P, "pid")).distinct()
 
 
+def pid_starts(p: Profile) -> DataFrame:
+    """profile_id, place, pid, ppid, start_time: every start of a process, in order of place, the record's seq."""
+    return p["PID_START"].select(P, F.col("seq").alias("place"), "pid", "ppid", F.col("time").alias("start_time"))
+
+
+def pid_ends(p: Profile) -> DataFrame:
+    """profile_id, place, pid, end_time: every end of a process, in order of place."""
+    return p["PID_END"].select(P, F.col("seq").alias("place"), "pid", F.col("time").alias("end_time"))
+
+
 def process_spans(p: Profile) -> DataFrame:
     """profile_id, pid: starts, ends, first start, last end."""
     both = p["PID_START"].select(P, "pid", F.lit(1).alias("s"), F.lit(0).alias("e"), F.col("time").alias("t0"), F.lit(None).cast("double").alias("t1"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom import functions as fn
@@ -42,23 +44,55 @@ def quartiles(df: DataFrame, value: str, table: str) -> DataFrame:
     return df.where(~F.isnan(v) & (F.abs(v) < F.lit(float("inf")))).groupBy(P).agg(F.percentile(v, F.lit([0.25, 0.5, 0.75])).alias("q"), (F.max(v) > F.min(v)).alias("spread")).select(P, F.lit(table).alias("table"), F.col("q")[0].alias("q1"), F.col("q")[1].alias("q2"), F.col("q")[2].alias("q3"), "spread")
 
 
-def with_heat(df: DataFrame, value: str, alias: str = "heat", scale: DataFrame | None = None, shown: str | None = None) -> DataFrame:
-    """df with the class of `shown` (by default of value) on the scale of value."""
-    q = (quartiles(df, value, "t") if scale is None else scale).select(F.col(P).alias("q_p"), "q1", "q2", "q3", "spread")
-    return df.join(q, F.col(P) == F.col("q_p"), "left").withColumn(alias, fn.heat(shown or value, "q1", "q2", "q3", F.coalesce("spread", F.lit(False)))).drop("q_p", "q1", "q2", "q3", "spread")
+def display_mad(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """keys, mad: the median absolute deviation of value about its median, for each key; nulls are left out.
+
+    Two aggregates by the same keys, so both share one shuffle's partitioning; no group is gathered in an array.
+    """
+    v = df.select(*keys, F.col(value).cast("double").alias("v"))
+    middle = v.groupBy(*keys).agg(F.median("v").alias("m")).select(*[F.col(k).alias(f"m_{k}") for k in keys], "m")
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"m_{k}")) for k in keys])
+    return v.join(middle, same).groupBy(*keys).agg(F.median(F.abs(F.col("v") - F.col("m"))).alias("mad"))
+
+
+def scales(df: DataFrame, by: list[str] | None = None, **values: Column) -> DataFrame:
+    """by (profile_id unless given) and, for each name, its quartiles {name}_q (an array of three) and {name}_spread, all
+    by one aggregate. What is null or not finite doesn't count."""
+    columns = []
+    for name, v in values.items():
+        v = v.cast("double")
+        v = F.when(~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))), v)
+        columns += [F.percentile(v, F.lit([0.25, 0.5, 0.75])).alias(f"{name}_q"), (F.max(v) > F.min(v)).alias(f"{name}_spread")]
+    return df.groupBy(*(by or [P])).agg(*columns)
+
+
+def _heated(df: DataFrame, scale: DataFrame, **shown: tuple[str, str]) -> DataFrame:
+    """df with a class for each alias=(value shown, name of its scale); the scales are joined once."""
+    keys = [c for c in scale.columns if c in df.columns]
+    q = scale.withColumnsRenamed({k: f"q_{k}" for k in keys})
+    out = df.join(q, reduce(lambda a, b: a & b, [F.col(k) == F.col(f"q_{k}") for k in keys]), "left")
+    for alias, (value, name) in shown.items():
+        cuts = [F.col(f"{name}_q")[i] for i in range(3)]
+        out = out.withColumn(alias, fn.heat(value, *cuts, F.coalesce(F.col(f"{name}_spread"), F.lit(False))))
+    return out.drop(*q.columns)
+
+
+def with_heat(df: DataFrame, value: str, alias: str = "heat") -> DataFrame:
+    """df with the class of value among the values of its profile."""
+    return _heated(df, scales(df, t=F.col(value)), **{alias: (value, "t")})
 
 
 def sub_heat(returns: DataFrame) -> DataFrame:
     """Subs with heat of exclusive time, and of inclusive time on the exclusive scale."""
     subs = agg.sub_totals(returns)
-    return with_heat(with_heat(subs, "excl", "excl_heat"), "excl", "incl_heat", shown="incl")
+    return _heated(subs, scales(subs, t=F.col("excl")), excl_heat=("excl", "t"), incl_heat=("incl", "t"))
 
 
-def line_heat(p: Profile) -> DataFrame:
-    """Lines with heat of positive ticks and, on a scale of its own, of positive calls."""
+def line_heat(p: Profile, per_file: bool = False) -> DataFrame:
+    """Lines with heat of positive ticks and, on a scale of its own, of positive calls; per_file: within each file."""
     lines = agg.line_totals(p)
-    by_ticks = quartiles(lines.where("ticks > 0"), "ticks", "t")
-    return with_heat(with_heat(lines, "ticks", "ticks_heat", scale=by_ticks), "calls", "calls_heat", scale=quartiles(lines.where("calls > 0"), "calls", "t"))
+    positive = scales(lines, [P, "fid"] if per_file else [P], t=F.when(F.col("ticks") > 0, F.col("ticks")), c=F.when(F.col("calls") > 0, F.col("calls")))
+    return _heated(lines, positive, ticks_heat=("ticks", "t"), calls_heat=("calls", "c"))
 
 
 def index_totals(p: Profile, returns: DataFrame) -> DataFrame:
@@ -94,18 +128,16 @@ def usable_sites(callers: DataFrame, defs: DataFrame) -> DataFrame:
 
 
 def calls_from_lines(callers: DataFrame, defs: DataFrame) -> DataFrame:
-    """profile_id, fid, line: calls and incl of what the line calls, and which subs, in order."""
-    per = usable_sites(callers, defs).groupBy(P, "fid", "line", "called").agg(F.sum("calls").alias("calls"), F.sum("incl").alias("incl"))
-    said = F.concat_ws(":", "called", F.col("calls").cast("string"), F.col("incl").cast("long").cast("string"))
-    return per.groupBy(P, "fid", "line").agg(F.sum("calls").alias("calls"), F.sum("incl").alias("incl"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("called", said.alias("s")))), lambda x: x["s"]), ",").alias("callees"))
+    """profile_id, fid, line, called: calls and incl of what a line calls, a row for each sub that it calls."""
+    return usable_sites(callers, defs).groupBy(P, "fid", "line", "called").agg(F.sum("calls").alias("calls"), F.sum("incl").alias("incl"))
 
 
 def calls_into_lines(callers: DataFrame, defs: DataFrame) -> DataFrame:
-    """profile_id, fid, line (where the called sub begins): calls, and from where, by caller and line."""
+    """profile_id, fid, line (where the called sub begins), called, caller, from_fid, from_line: calls, a row for each
+    site, so that a sub that is called from everywhere is never one row or one task."""
     at = defs.where("first_line > 0").select(P, F.col("name").alias("called"), F.col("fid").alias("d_fid"), "first_line")
     into = usable_sites(callers, defs).join(at, [P, "called"])
-    said = F.concat_ws(":", "caller", F.col("fid").cast("string"), F.col("line").cast("string"), F.col("calls").cast("string"))
-    return into.groupBy(P, F.col("d_fid").alias("fid"), F.col("first_line").alias("line")).agg(F.sum("calls").alias("calls"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("caller", F.col("line").alias("l"), F.col("fid").alias("f"), said.alias("s")))), lambda x: x["s"]), ",").alias("callers"))
+    return into.select(P, F.col("d_fid").alias("fid"), F.col("first_line").alias("line"), "called", "caller", F.col("fid").alias("from_fid"), F.col("line").alias("from_line"), "calls")
 
 
 def eligible_files(p: Profile) -> DataFrame:

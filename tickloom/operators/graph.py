@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tickloom import functions as fn
 from tickloom.operators import aggregates as agg
 from tickloom.operators.aggregates import P
+from tickloom.staging import stage
 
 #: Fixed values of the layout.
 WIDTH, ROW_HEIGHT, PADDING, LEAST_WIDTH, MOST_DEPTH = 1200.0, 22.0, 2.0, 1.0, 16
@@ -71,12 +72,13 @@ def flame_layout(edges: DataFrame, subs: DataFrame) -> DataFrame:
     A level holds at most WIDTH / LEAST_WIDTH frames a profile, as narrower ones are left out with all above them, so a
     level's join is small whatever the graph; cycles end where a name is on its own path, which is drawn and not opened.
     """
-    flame = flame_edges(edges, subs)
+    flame = stage(flame_edges(edges, subs), "flame-edges")  # read again by every level
     before = Window.partitionBy(P, "caller").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
     kids = flame.withColumn("before", F.coalesce(F.sum("weight").over(before), F.lit(0.0))).withColumn("children", F.sum("weight").over(Window.partitionBy(P, "caller")))
     kids = kids.select(F.col(P).alias("k_p"), F.col("caller").alias("k_caller"), F.col("called").alias("k_name"), F.col("calls").alias("k_calls"), F.col("weight").alias("k_weight"), "before", "children")
     order = Window.partitionBy(P).orderBy(F.desc("weight"), "name").rowsBetween(Window.unboundedPreceding, -1)
     roots = flame_roots(flame, subs).withColumn("total", F.sum("weight").over(Window.partitionBy(P))).withColumn("left", F.coalesce(F.sum("weight").over(order), F.lit(0.0)))
+    kids = stage(kids, "flame-kids")
     roots = roots.select(P, F.lit(0).alias("depth"), "name", F.array("name").alias("path"), F.lit(True).alias("opens"), "calls", "weight", (F.col("left") / F.col("total") * WIDTH).alias("x"), (F.col("weight") / F.col("total") * WIDTH).alias("width"))
     fit = "(width * least(1.0D, children / greatest(weight, children)))"
     step = f"""WITH RECURSIVE frames({P}, depth, name, path, opens, calls, weight, x, width) AS (
@@ -86,7 +88,7 @@ def flame_layout(edges: DataFrame, subs: DataFrame) -> DataFrame:
         FROM frames JOIN {{kids}} ON {P} = k_p AND name = k_caller
         WHERE opens AND depth < {MOST_DEPTH - 1} AND k_weight / children * {fit} >= {LEAST_WIDTH}D)
         SELECT {P}, depth, name, path, calls, weight, x, width FROM frames"""
-    return edges.sparkSession.sql(step, roots=roots, kids=kids)
+    return edges.sparkSession.sql(step, roots=stage(roots, "flame-roots"), kids=kids)
 
 
 def call_paths(graph: DataFrame, roots: DataFrame, depth: int = MOST_DEPTH) -> DataFrame:

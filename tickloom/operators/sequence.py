@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +27,24 @@ def renumbered(events: DataFrame, order: list[str], key: str = P, seq: str = "se
     return events.withColumn(seq, (F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1).cast("long"))
 
 
+def numbered(events: DataFrame, key: list[str], seq: str, ties: list[str], width: int = 65_536) -> DataFrame:
+    """seq from 0 over all rows, in order of key, old seq and ties.
+
+    Ranges of width of the old seq are numbered each by itself and moved by the rows of the ranges before them, so no
+    task holds more than a range; only the number of rows of each range, a row for each, meets in one place. Null
+    numbers come first.
+    """
+    at = F.floor(F.col(seq) / width).cast("long")
+    counts = events.select(*key, at.alias("n_range")).groupBy(*key, "n_range").agg(F.count("*").alias("n_rows"))
+    before = Window.orderBy(*key, "n_range").rowsBetween(Window.unboundedPreceding, -1)
+    names = [F.col(k).alias(f"n_{k}") for k in key]
+    moved = counts.select(*names, "n_range", F.coalesce(F.sum("n_rows").over(before), F.lit(0)).alias("n_before"))
+    own = F.row_number().over(Window.partitionBy(*key, "n_at").orderBy(seq, *ties)) - 1
+    rows = events.withColumn("n_at", at).withColumn("n_own", own)
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"n_{k}")) for k in key], F.col("n_at").eqNullSafe(F.col("n_range")))
+    return rows.join(moved, same).withColumn(seq, F.col("n_own") + F.col("n_before")).select(events.columns)
+
+
 def runs(events: DataFrame, site: list[str], order: list[str], key: str) -> DataFrame:
     """Runs of consecutive records at the same site: key, site, first, last (positions), length."""
     whole = Window.partitionBy(key).orderBy(*order)

@@ -12,8 +12,10 @@ from tickloom import schemas
 from tickloom.operators import aggregates as agg
 from tickloom.operators import sequence
 from tickloom.operators.aggregates import P
+from tickloom.staging import stage
 from tickloom.views import Profile
 
+#: The reasons for which a profile is incomplete.
 MISSING_END, NO_TIMING = "missing PID_END after PID_START", "no statement timing events (TIME_LINE/TIME_BLOCK)"
 
 
@@ -21,12 +23,15 @@ class IncompleteProfile(ValueError):
     """A report was asked for of a profile that isn't whole."""
 
 
-def completeness(p: Profile) -> DataFrame:
-    """profile_id, reasons (joined by commas, empty when complete), complete."""
-    c = agg.counters(p)
+def _judged(c: DataFrame) -> DataFrame:
     few = F.when((F.col("pid_start_events") > 0) & (F.col("pid_end_events") < F.col("pid_start_events")), F.lit(MISSING_END))
     none = F.when((F.col("time_line_events") == 0) & (F.col("time_block_events") == 0), F.lit(NO_TIMING))
-    return c.select(P, F.array_join(F.array_compact(F.array(few, none)), ",").alias("reasons")).withColumn("complete", F.col("reasons") == "")
+    return c.withColumn("reasons", F.array_join(F.array_compact(F.array(few, none)), ",")).withColumn("complete", F.col("reasons") == "")
+
+
+def completeness(p: Profile) -> DataFrame:
+    """profile_id, reasons (joined by commas, empty when complete), complete."""
+    return _judged(agg.counters(p)).select(P, "reasons", "complete")
 
 
 def require_complete(p: Profile, allow_incomplete: bool = False) -> None:
@@ -39,7 +44,7 @@ def require_complete(p: Profile, allow_incomplete: bool = False) -> None:
 
 def verify(p: Profile) -> DataFrame:
     """counters with reasons and complete: what a verification prints."""
-    return agg.counters(p).join(completeness(p), P)
+    return _judged(agg.counters(p))
 
 
 def lifecycle(p: Profile) -> DataFrame:
@@ -48,37 +53,42 @@ def lifecycle(p: Profile) -> DataFrame:
     return s.groupBy(P).agg(F.count("*").alias("processes"), F.sum("starts").alias("started"), F.sum("ends").alias("ended"), F.sum(F.when(F.col("starts") > F.col("ends"), 1).otherwise(0)).alias("open"))
 
 
+def _compared(p: Profile, counts_total: bool) -> dict[str, tuple[DataFrame, list[str], list[str], list[str]]]:
+    """aggregate -> (rows, keys, values that must be equal, values that must be close)."""
+    tags = None if counts_total else ["TIME_LINE", "TIME_BLOCK", "DISCOUNT"]
+    return {
+        "counts": (agg.tag_counts(p, tags), ["tag"], ["events"], []),
+        "lines": (agg.line_totals(p), ["fid", "line"], ["calls", "ticks"], []),
+        "blocks": (agg.block_totals(p), ["fid", "block_line"], ["calls", "ticks"], []),
+        "subs": (agg.sub_totals(p["SUB_RETURN"]), ["name"], ["returns"], ["incl", "excl"]),
+        "edges": (agg.call_edges(p["SUB_CALLERS"]), ["caller", "called"], ["calls", "max_rec_depth"], ["incl", "excl", "reci"]),
+        "source": (agg.source_lines(p), ["fid", "line"], ["text"], []),
+        "definitions": (agg.sub_defs(p), ["name"], ["fid", "first_line", "last_line"], []),
+        "files": (agg.files(p), ["fid"], ["name"], []),
+        "attributes": (agg.attributes(p), ["key"], ["value"], []),
+        "options": (agg.options(p), ["key"], ["value"], []),
+    }
+
+
 def compare(a: Profile, b: Profile, *, counts_total: bool = True) -> DataFrame:
     """aggregate, key, left, right: where two profiles differ; empty for equal ones. Counts, ticks and texts must be
-    equal, times close. Call sites aren't compared. profile_id is left aside: compare one profile with one."""
-    found = []
-
-    def both(name, left, right, keys, exact, near=()):
-        l_, r_ = left.drop(P), right.drop(P)
-        x = l_.select(*[F.col(k).alias(f"a_{k}") for k in l_.columns], F.lit(True).alias("a_"))
-        y = r_.select(*[F.col(k).alias(f"b_{k}") for k in r_.columns], F.lit(True).alias("b_"))
-        on = reduce(lambda p, q: p & q, [F.col(f"a_{k}").eqNullSafe(F.col(f"b_{k}")) for k in keys])
-        same = F.col("a_").isNotNull() & F.col("b_").isNotNull()
-        for c in exact:
-            same = same & F.col(f"a_{c}").eqNullSafe(F.col(f"b_{c}"))
-        for c in near:
-            same = same & F.coalesce(fn.close(f"a_{c}", f"b_{c}"), F.col(f"a_{c}").isNull() & F.col(f"b_{c}").isNull())
-        text = lambda s: F.when(F.col(f"{s}_").isNotNull(), F.concat_ws("|", *[F.coalesce(F.col(f"{s}_{c}").cast("string"), F.lit("?")) for c in (*exact, *near)]))
-        key = F.concat_ws("|", *[F.coalesce(f"a_{k}", f"b_{k}").cast("string") for k in keys])
-        found.append(x.join(y, on, "full").where(~same).select(F.lit(name).alias("aggregate"), key.alias("key"), text("a").alias("left"), text("b").alias("right")))
-
-    totals = lambda p: agg.tag_counts(p).where(F.col("tag").isin("TIME_LINE", "TIME_BLOCK", "DISCOUNT") | F.lit(counts_total))
-    both("counts", totals(a), totals(b), ["tag"], ["events"])
-    both("lines", agg.line_totals(a), agg.line_totals(b), ["fid", "line"], ["calls", "ticks"])
-    both("blocks", agg.block_totals(a), agg.block_totals(b), ["fid", "block_line"], ["calls", "ticks"])
-    both("subs", agg.sub_totals(a["SUB_RETURN"]), agg.sub_totals(b["SUB_RETURN"]), ["name"], ["returns"], ["incl", "excl"])
-    both("edges", agg.call_edges(a["SUB_CALLERS"]).drop("sites"), agg.call_edges(b["SUB_CALLERS"]).drop("sites"), ["caller", "called"], ["calls", "max_rec_depth"], ["incl", "excl", "reci"])
-    both("source", agg.source_lines(a), agg.source_lines(b), ["fid", "line"], ["text"])
-    both("definitions", agg.sub_defs(a), agg.sub_defs(b), ["name"], ["fid", "first_line", "last_line"])
-    both("files", agg.files(a).select(P, "fid", "name"), agg.files(b).select(P, "fid", "name"), ["fid"], ["name"])
-    both("attributes", agg.attributes(a), agg.attributes(b), ["key"], ["value"])
-    both("options", agg.options(a), agg.options(b), ["key"], ["value"])
-    return reduce(DataFrame.unionAll, found)
+    equal, times close. Call sites aren't compared. profile_id is left aside: compare one profile with one.
+
+    All aggregates of both sides go into one relation of (aggregate, key, values), which one more aggregate by key sets
+    side by side: a join for each of the ten isn't needed.
+    """
+    rows = []
+    for side, p in (("a", a), ("b", b)):
+        for name, (df, keys, exact, near) in _compared(p, counts_total).items():
+            texts = F.array(*[F.col(c).cast("string") for c in exact])
+            numbers = F.array(*[F.col(c).cast("double") for c in near]).cast("array<double>")
+            key = F.array(*[F.col(k).cast("string") for k in keys])
+            rows.append(df.select(F.lit(name).alias("aggregate"), key.alias("keys"), F.lit(side).alias("side"), F.struct(texts.alias("exact"), numbers.alias("near")).alias("v")))
+    both = reduce(DataFrame.unionAll, rows).groupBy("aggregate", "keys").agg(*[F.max(F.when(F.col("side") == s, F.col("v"))).alias(s) for s in "ab"])
+    far = F.exists(F.zip_with("a.near", "b.near", lambda x, y: ~(F.coalesce(fn.close(x, y), F.lit(False)) | (x.isNull() & y.isNull()))), lambda bad: bad)
+    differ = F.col("a").isNull() | F.col("b").isNull() | (F.col("a.exact") != F.col("b.exact")) | far
+    text = lambda s: F.array_join(F.concat(f"{s}.exact", F.transform(f"{s}.near", fn.format_ticks)), "|", "?")
+    return both.where(differ).select("aggregate", F.array_join("keys", "|").alias("key"), text("a").alias("left"), text("b").alias("right"))
 
 
 def compare_dumps(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -99,6 +109,16 @@ def normalized(events: DataFrame) -> DataFrame:
     return events.withColumn("text", F.when(tag == "COMMENT", F.lit("<COMMENT>")).otherwise(F.col("text"))).withColumn("value", value).withColumn("name", F.when(tag == "NEW_FID", short("name")).otherwise(F.col("name")))
 
 
+def normalized_args(events: DataFrame) -> DataFrame:
+    """profile_id, seq, tag, args: normalized events with their arguments as text in one stable form: strings as they
+    are, integers, and floats as normalized_number() writes them. Dumps that say the same compare equal as text."""
+    kinds = {"s": lambda c: F.col(c), "u": lambda c: F.col(c).cast("string"), "i": lambda c: F.col(c).cast("string"), "n": fn.normalized_number}
+    args = F.lit(None).cast("array<string>")
+    for t, columns in schemas.TAGS.items():
+        args = F.when(F.col("tag") == t, F.array(*[kinds[k](c) for c, k in columns]).cast("array<string>")).otherwise(args)
+    return normalized(events).select(P, "seq", "tag", args.alias("args"))
+
+
 _FIDS = ["NEW_FID", "TIME_LINE", "TIME_BLOCK", "SUB_ENTRY", "SUB_INFO", "SUB_CALLERS", "SRC_LINE"]
 
 
@@ -115,51 +135,61 @@ def _prepared(inputs: list[DataFrame]) -> DataFrame:
     return out
 
 
-def _merged(rows: DataFrame, profile_id: str) -> DataFrame:
-    names = [f.name for f in schemas.EVENTS.fields]
-    rows = sequence.renumbered(rows.withColumn(P, F.lit(profile_id)), ["input", "seq"])
-    return rows.select(names)
+def _in_line(rows: DataFrame) -> DataFrame:
+    """rows numbered by input and seq. Ranges of seq are numbered each by itself, so that a merged profile, however long,
+    is never one task; rows of one input and seq come in order of tag and arguments."""
+    return sequence.numbered(rows, ["input"], "seq", ["tag", *schemas.COLUMNS])
+
+
+def _as_one(rows: DataFrame, profile_id: str) -> DataFrame:
+    return rows.withColumn(P, F.lit(profile_id)).select([f.name for f in schemas.EVENTS.fields])
+
+
+def _offsets(inputs: list[DataFrame]) -> DataFrame:
+    """t_input, offset: the sum of the highest file ids that the inputs before declare. A row for each input."""
+    tops = [e.where("tag = 'NEW_FID'").agg(F.lit(i).alias("t_input"), F.coalesce(F.max("fid"), F.lit(0)).alias("top")) for i, e in enumerate(inputs)]
+    before = Window.orderBy("t_input").rowsBetween(Window.unboundedPreceding, -1)  # over as many rows as inputs
+    return reduce(DataFrame.unionAll, tops).select("t_input", F.coalesce(F.sum("top").over(before), F.lit(0)).alias("offset"))
 
 
 def merge_concat(inputs: list[DataFrame], profile_id: str = "merged") -> DataFrame:
     """Streams one after the other. File ids of an input move up by the highest that the inputs before it declare."""
-    rows = _prepared(inputs)
-    tops = rows.where("tag = 'NEW_FID'").groupBy("input").agg(F.max("fid").alias("top"))
-    tops = rows.select("input").distinct().join(tops, "input", "left")  # a row for each input
-    step = tops.select(F.col("input").alias("t_input"), F.coalesce("top", F.lit(0)).alias("top"))
-    w = Window.orderBy("t_input").rowsBetween(Window.unboundedPreceding, -1)
     # an input's highest id is its own plus its offset, and so is at least all before it
-    offsets = step.withColumn("offset", F.coalesce(F.sum("top").over(w), F.lit(0)))
-    rows = rows.join(F.broadcast(offsets), F.col("input") == F.col("t_input"))
+    rows = _in_line(_prepared(inputs)).join(F.broadcast(_offsets(inputs)), F.col("input") == F.col("t_input"))  # a row for each input
     fid = F.when(F.col("tag").isin(_FIDS), F.col("fid") + F.col("offset")).otherwise(F.col("fid"))
     eval_fid = F.when((F.col("tag") == "NEW_FID") & (F.col("eval_fid") != 0), F.col("eval_fid") + F.col("offset")).otherwise(F.col("eval_fid"))
-    return _merged(rows.withColumn("fid", fid).withColumn("eval_fid", eval_fid).drop("t_input", "top", "offset"), profile_id)
+    return _as_one(rows.withColumn("fid", fid).withColumn("eval_fid", eval_fid), profile_id)
 
 
 def file_map(inputs: list[DataFrame]) -> DataFrame:
-    """input, fid, new_fid: the first input keeps its ids; later names get the id they have already, or the next free one."""
-    named = None
-    for i, e in enumerate(inputs):
-        one = e.where("tag = 'NEW_FID'").groupBy("fid").agg(F.min_by("name", "seq").alias("name"), F.min("seq").alias("seq")).select(F.lit(i).alias("input"), "fid", "name", "seq")
-        named = one if named is None else named.union(one)
+    """input, fid, new_fid, name, declared: the first input keeps its ids; later names get the id that they have already,
+    or the next free one. declared is the seq of the declaration that a merge keeps, null where another input has it.
+
+    A row for each file of an input, staged: the events are read for it once.
+    """
+    named = [e.where("tag = 'NEW_FID'").groupBy("fid").agg(F.min_by("name", "seq").alias("name"), F.min("seq").alias("seq")).select(F.lit(i).alias("input"), "fid", "name", "seq") for i, e in enumerate(inputs)]
+    named = stage(reduce(DataFrame.unionAll, named), "files")
     first = named.where("input = 0").groupBy("name").agg(F.min("fid").alias("kept"))
     fresh = named.where("input > 0").join(first, "name", "left_anti").groupBy("name").agg(F.min(F.struct("input", "seq", "fid")).alias("at"))
     top = named.where("input = 0").agg(F.max("fid")).first()[0] or 0
     fresh = fresh.select("name", (F.lit(top) + F.row_number().over(Window.orderBy("at"))).alias("made"))  # of new file names only
     out = named.join(first, "name", "left").join(fresh, "name", "left")
-    return out.select("input", "fid", F.when(F.col("input") == 0, F.col("fid")).otherwise(F.coalesce("kept", "made")).alias("new_fid"), "name")
+    out = out.select("input", "fid", F.when(F.col("input") == 0, F.col("fid")).otherwise(F.coalesce("kept", "made")).alias("new_fid"), "name", "seq")
+    keep = out.groupBy(F.col("new_fid").alias("k_fid")).agg(F.min(F.struct("input", "seq")).alias("k"))
+    out = out.join(keep, F.col("new_fid") == F.col("k_fid"))
+    return stage(out.select("input", "fid", "new_fid", "name", F.when(F.expr("k = struct(input, seq)"), F.col("seq")).alias("declared")), "file-map")
 
 
 def merge_by_name(inputs: list[DataFrame], profile_id: str = "merged") -> DataFrame:
-    """Streams one after the other with files of one name made one. Ids that nothing declares stay as they are."""
-    rows = _prepared(inputs)
-    m = file_map(inputs).select(F.col("input").alias("m_input"), F.col("fid").alias("m_fid"), "new_fid")
-    e = m.select(F.col("m_input").alias("e_input"), F.col("m_fid").alias("e_fid"), F.col("new_fid").alias("new_eval"))
-    rows = rows.join(m, (F.col("input") == F.col("m_input")) & (F.col("fid") == F.col("m_fid")), "left").join(e, (F.col("input") == F.col("e_input")) & (F.col("eval_fid") == F.col("e_fid")), "left")
-    rows = rows.withColumn("fid", F.coalesce("new_fid", "fid")).withColumn("eval_fid", F.when(F.col("eval_fid") != 0, F.coalesce("new_eval", "eval_fid")).otherwise(F.col("eval_fid")))
-    first = Window.partitionBy("fid").orderBy("input", "seq")
-    files = rows.where("tag = 'NEW_FID'").withColumn("n", F.row_number().over(first)).where("n = 1").drop("n")
-    return _merged(rows.where("tag <> 'NEW_FID'").unionByName(files), profile_id)
+    """Streams one after the other with files of one name made one. Ids that nothing declares stay as they are; of the
+    declarations of a file, the first of all inputs is kept."""
+    found = file_map(inputs)
+    m = found.select(F.col("input").alias("m_input"), F.col("fid").alias("m_fid"), "new_fid", "declared")
+    e = found.select(F.col("input").alias("e_input"), F.col("fid").alias("e_fid"), F.col("new_fid").alias("new_eval"))
+    rows = _prepared(inputs).join(m, (F.col("input") == F.col("m_input")) & (F.col("fid") == F.col("m_fid")), "left")
+    rows = _in_line(rows.where("tag <> 'NEW_FID' OR seq <=> declared")).withColumn("of_eval", F.when(F.col("eval_fid") != 0, F.col("eval_fid")))
+    rows = rows.join(e, (F.col("input") == F.col("e_input")) & (F.col("of_eval") == F.col("e_fid")), "left")
+    return _as_one(rows.withColumn("fid", F.coalesce("new_fid", "fid")).withColumn("eval_fid", F.coalesce("new_eval", "eval_fid")), profile_id)
 
 
 def salvage_labels(events: DataFrame, *, wire: str, consumed: int, size: int, prefix: str = "profile") -> DataFrame:

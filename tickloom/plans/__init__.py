@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tickloom.plans import core, registry, reports, sequences  # noqa: F401  the modules register their queries
+from tickloom.plans import core, registry, reports, roundtrips, sequences  # noqa: F401  the modules register their queries
 
 
 def queries() -> dict:

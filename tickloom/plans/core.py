@@ -22,7 +22,7 @@ def top_lines(spark, d):
 
 @query("a1_a2_a3_counters", sql("time_line time_block discount sub_entry sub_return", "SELECT (SELECT count(*) FROM time_line) AS time_line_events, (SELECT count(*) FROM time_block) AS time_block_events, (SELECT count(*) FROM discount) AS discount_events, (SELECT count(*) FROM sub_entry) AS sub_entry_events, (SELECT count(*) FROM sub_return) AS sub_return_events"))
 def counters(spark, d):
-    return agg.counters(profile(spark, d)).select("time_line_events", "time_block_events", "discount_events", "sub_entry_events", "sub_return_events")
+    return agg.counters(profile(spark, d), ["TIME_LINE", "TIME_BLOCK", "DISCOUNT", "SUB_ENTRY", "SUB_RETURN"]).drop(P)
 
 
 @query("tag_counts", sql("time_line time_block discount sub_entry sub_return sub_callers new_fid sub_info src_line attribute option pid_start pid_end", " UNION ALL ".join(f"SELECT '{t.upper()}' AS tag, count(*) AS events FROM {t}" for t in "time_line time_block discount sub_entry sub_return sub_callers new_fid sub_info src_line attribute option pid_start pid_end".split())))
@@ -164,7 +164,7 @@ def completeness(spark, d):
     return tools.completeness(profile(spark, d)).drop(P)
 
 
-def _halves(spark, d):
+def halves(spark, d):
     """Two profiles: orders and lines of even and of odd order keys."""
     from tickloom.views import Profile
 
@@ -175,7 +175,7 @@ def _halves(spark, d):
 
 @query("compare_profiles", sql("", "WITH t AS (SELECT l_orderkey % 2 AS side, l_suppkey AS fid, l_linenumber AS line, CAST(round(l_extendedprice*100) AS BIGINT) AS ticks FROM lineitem), a AS (SELECT fid, line, count(*) AS c, CAST(sum(ticks) AS BIGINT) AS s FROM t WHERE side = 0 GROUP BY 1, 2), b AS (SELECT fid, line, count(*) AS c, CAST(sum(ticks) AS BIGINT) AS s FROM t WHERE side = 1 GROUP BY 1, 2) SELECT 'lines' AS aggregate, concat_ws('|', coalesce(a.fid, b.fid), coalesce(a.line, b.line)) AS key, CASE WHEN a.c IS NOT NULL THEN a.c || '|' || a.s END AS left, CASE WHEN b.c IS NOT NULL THEN b.c || '|' || b.s END AS right FROM a FULL JOIN b ON a.fid = b.fid AND a.line = b.line WHERE a.c IS DISTINCT FROM b.c OR a.s IS DISTINCT FROM b.s"))
 def compare_profiles(spark, d):
-    return tools.compare(*_halves(spark, d)).where("aggregate = 'lines'")
+    return tools.compare(*halves(spark, d)).where("aggregate = 'lines'")
 
 
 @query("compare_same", "SELECT '' AS aggregate, '' AS key, '' AS \"left\", '' AS \"right\" WHERE false")
@@ -189,7 +189,7 @@ def compare_same(spark, d):
 def merge_concat(spark, d):
     from tickloom.views import Profile
 
-    a, b = _halves(spark, d)
+    a, b = halves(spark, d)
     return agg.line_totals(Profile.of(tools.merge_concat([a.events(), b.events()]))).drop(P)
 
 
@@ -198,7 +198,7 @@ def merge_by_name(spark, d):
     """Both halves name the same files, so merging by name gives the totals of the whole."""
     from tickloom.views import Profile
 
-    a, b = _halves(spark, d)
+    a, b = halves(spark, d)
     return agg.line_totals(Profile.of(tools.merge_by_name([a.events(), b.events()]))).drop(P)
 
 

@@ -75,13 +75,13 @@ def places_and_files(spark, d):
     return derived.places_and_files(p["SUB_CALLERS"], agg.sub_defs(p)).drop(P)
 
 
-@query("calls_from_lines", sql("usable", "SELECT fid, line, CAST(sum(calls) AS BIGINT) AS calls, sum(incl) AS incl, string_agg(called || ':' || calls || ':' || CAST(incl AS BIGINT), ',' ORDER BY called) AS callees FROM (SELECT fid, line, called, CAST(sum(calls) AS BIGINT) AS calls, sum(incl) AS incl FROM usable GROUP BY 1, 2, 3) GROUP BY 1, 2"))
+@query("calls_from_lines", sql("usable", "SELECT fid, line, called, CAST(sum(calls) AS BIGINT) AS calls, sum(incl) AS incl FROM usable GROUP BY 1, 2, 3"))
 def calls_from_lines(spark, d):
     p = profile(spark, d)
     return derived.calls_from_lines(p["SUB_CALLERS"], agg.sub_defs(p)).drop(P)
 
 
-@query("calls_into_lines", sql("usable", "SELECT d.fid, d.first_line AS line, CAST(sum(calls) AS BIGINT) AS calls, string_agg(u.caller || ':' || u.fid || ':' || u.line || ':' || u.calls, ',' ORDER BY u.caller, u.line, u.fid, u.caller || ':' || u.fid || ':' || u.line || ':' || u.calls) AS callers FROM usable u JOIN defs d ON d.name = u.called AND d.first_line > 0 GROUP BY 1, 2"))
+@query("calls_into_lines", sql("usable", "SELECT d.fid, d.first_line AS line, u.called, u.caller, u.fid AS from_fid, u.line AS from_line, u.calls FROM usable u JOIN defs d ON d.name = u.called AND d.first_line > 0"))
 def calls_into_lines(spark, d):
     p = profile(spark, d)
     return derived.calls_into_lines(p["SUB_CALLERS"], agg.sub_defs(p)).drop(P)
@@ -188,11 +188,14 @@ def flame_layout(spark, d):
     return graph.flame_layout(*_tree(spark, d)).select("depth", "name", F.round(F.col("x") * 1000).cast("long").alias("x_milli"), F.round(F.col("width") * 1000).cast("long").alias("width_milli"))
 
 
-@query("flame_layout_cyclic")
+_FIT = "(r.width * least(1.0, children / greatest(r.weight, children)))"
+
+
+@query("flame_layout_cyclic", sql("kids subs", f"RECURSIVE k AS (SELECT caller, called, weight, sum(weight) OVER (PARTITION BY caller) AS children FROM kids), o AS (SELECT caller AS name, greatest(coalesce(any_value(incl), 0.0), any_value(w), 1.0) AS weight FROM (SELECT caller, sum(weight) AS w FROM kids GROUP BY 1) LEFT JOIN subs ON name = caller WHERE caller NOT IN (SELECT called FROM kids) OR NOT EXISTS (SELECT 1 FROM kids a WHERE a.caller NOT IN (SELECT called FROM kids)) GROUP BY caller), r AS (SELECT 0 AS depth, name, [name] AS path, true AS opens, weight, weight / sum(weight) OVER () * 1200.0 AS width FROM o UNION ALL SELECT depth + 1, k.called, list_append(path, k.called), NOT list_contains(path, k.called), k.weight, k.weight / children * {_FIT} FROM r JOIN k ON k.caller = r.name WHERE opens AND depth < 15 AND k.weight / children * {_FIT} >= 1.0) SELECT_FROM SELECT depth, array_to_string(path, '/') AS path, CAST(floor(width * 1000) AS BIGINT) AS width_milli FROM r WHERE width >= 1.0"))
 def flame_layout_cyclic(spark, d):
-    """A dense, cyclic graph: every caller is a root, and cycles end where a name repeats. Compared in tests."""
+    """A dense, cyclic graph: every caller is a root, and cycles end where a name repeats."""
     frames = graph.flame_layout(agg.call_edges(profile(spark, d)["SUB_CALLERS"]), agg.sub_totals(call_returns(spark, d)))
-    return frames.select("depth", F.array_join("path", "/").alias("path"), F.round("width", 6).alias("width"))
+    return frames.select("depth", F.array_join("path", "/").alias("path"), F.floor(F.col("width") * 1000).cast("long").alias("width_milli"))
 
 
 @query("subs_csv", sql("subs", "SELECT name || ',' || returns || ',' || CAST(incl AS BIGINT) || ',' || CAST(excl AS BIGINT) AS line FROM subs"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tickloom import functions as fn
-from tickloom.operators import sequence
+from tickloom.operators import derived, sequence
 from tickloom.operators.aggregates import P
 from tickloom.plans.registry import query, sql
 from tickloom.sources.projections import profile
@@ -100,4 +100,4 @@ def library_paths(spark, d):
 @query("display_mad", "WITH g AS (SELECT l_suppkey AS k, l_quantity AS v FROM lineitem), m AS (SELECT k, median(v) AS m FROM g GROUP BY 1) SELECT k, median(abs(v - m)) AS mad FROM g JOIN m USING (k) GROUP BY 1")
 def display_mad(spark, d):
     item = spark.read.parquet(f"{d}/lineitem.parquet")
-    return item.groupBy(F.col("l_suppkey").alias("k")).agg(fn.display_mad(F.collect_list("l_quantity")).alias("mad"))
+    return derived.display_mad(item.select(F.col("l_suppkey").alias("k"), "l_quantity"), ["k"], "l_quantity")

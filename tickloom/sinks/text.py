@@ -109,5 +109,55 @@ def aggregates(p: Profile, label: str, *, leaf: str = "main::leaf", mid: str = "
     }
 
 
+#: Keys that come first, and how many others are listed.
+FIRST_ATTRIBUTES, FIRST_OPTIONS, MOST_KEYS, MOST_BLOCKS = ["ticks_per_sec", "basetime", "application", "xs_version"], ["calls", "blocks", "stmts", "compress"], 24, 8
+
+
+def query_json(p: Profile) -> str:
+    """aggregates() with the number of returns of each sub and of calls of each edge."""
+    said = aggregates(p, "")
+    said.pop("profile")
+    said["subs"] = {k: v["returns"] for k, v in said["subs"].items()}
+    said["edges"] = {k: v["count"] for k, v in said["edges"].items()}
+    return json.dumps(said, sort_keys=True)
+
+
+def query_text(p: Profile, *, line: tuple[int, int] = (1, 5), block: tuple[int, int] = (1, 4), first: tuple[str, ...] = ("main::leaf", "main::mid")) -> Iterator[str]:
+    """Lines: returns of subs, calls of edges, definitions, a line of source, calls of lines and blocks, processes,
+    attributes and options. Rows are fetched a partition at a time."""
+    for r in agg.returns_by_name(p["SUB_RETURN"]).orderBy("name").toLocalIterator():
+        yield f"{r['name']} returns={r.returns}"
+    for r in agg.call_edges(p["SUB_CALLERS"]).orderBy("caller", "called").toLocalIterator():
+        yield f"{r.caller} -> {r.called} count={r.calls}"
+    place = F.coalesce(F.nullif(F.array_position(F.array(*[F.lit(x) for x in first]), F.col("name")), F.lit(0)), F.lit(len(first) + 1))
+    for r in agg.sub_defs(p).orderBy(place, "name").toLocalIterator():
+        yield f"sub_def {r['name']} fid={r.fid} first={r.first_line} last={r.last_line}"
+    source = agg.source_lines(p).where((F.col("fid") == line[0]) & (F.col("line") == line[1])).first()
+    if source:
+        yield f"source_line {line[0]}:{line[1]}={source.text.removesuffix(chr(10)).removesuffix(chr(13))}"
+    calls = agg.line_totals(p).where((F.col("fid") == line[0]) & (F.col("line") == line[1])).first()
+    if calls:
+        yield f"line_calls {line[0]}:{line[1]}={calls.calls}"
+    asked = ~((F.col("fid") == block[0]) & (F.col("block_line") == block[1]))
+    for r in agg.block_totals(p).withColumn("key", F.concat_ws(":", F.col("fid").cast("string"), F.col("block_line").cast("string"))).orderBy(asked, "key").limit(MOST_BLOCKS).collect():
+        yield f"block_line_calls {r.key}={r.calls}"
+    starts, ends = agg.pid_starts(p), agg.pid_ends(p)
+    counts = starts.count(), ends.count()
+    if any(counts):
+        yield f"pid_start_count={counts[0]}"
+        yield f"pid_end_count={counts[1]}"
+        for r in starts.withColumn("t", fn.format_ticks("start_time")).orderBy("place").toLocalIterator():
+            yield " ".join([f"pid_start pid={r.pid}", *([f"ppid={r.ppid}"] if r.ppid is not None else []), *([f"start_time={r.t}"] if r.t is not None else [])])
+        for r in ends.withColumn("t", fn.format_ticks("end_time")).orderBy("place").toLocalIterator():
+            yield f"pid_end pid={r.pid}" + (f" end_time={r.t}" if r.t is not None else "")
+    for word, df, keys in (("attribute", agg.attributes(p), FIRST_ATTRIBUTES), ("option", agg.options(p), FIRST_OPTIONS)):
+        total = df.count()
+        held = {r.key: r.value for r in (df if total <= MOST_KEYS + len(keys) else df.where(F.col("key").isin(keys))).collect() if r.value is not None}
+        for k in [*[k for k in keys if k in held], *sorted(k for k in held if k not in keys)]:
+            yield f"{word} {k}={held[k]}"
+        if total > MOST_KEYS + len(keys):
+            yield f"{word}_count={total}"
+
+
 def aggregates_json(p: Profile, label: str, **places) -> str:
     return json.dumps(aggregates(p, label, **places), sort_keys=True)

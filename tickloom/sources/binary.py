@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -12,6 +13,7 @@ from tickloom import schemas
 from tickloom.shipping import ship
 from tickloom.sources import wire_v5, wire_v6
 from tickloom.sources.wire_v5 import BadProfile
+from tickloom.staging import filesystem, stage
 
 _ARROW = {"u": pa.int64(), "i": pa.int64(), "n": pa.float64(), "s": pa.string()}
 ROWS = 20_000
@@ -75,37 +77,54 @@ def read(spark: SparkSession, path: str, *, mode: str = "FAILFAST", mixed: bool
     return _files(spark, path).mapInArrow(run, schemas.EVENTS)
 
 
-def salvaged(spark: SparkSession, path: str) -> DataFrame:
-    """profile_id, wire, records, bytes_consumed, bytes of each profile at path."""
-    ship(spark)
+def _salvaged(rows: DataFrame) -> DataFrame:
+    """profile_id, wire, records, bytes_consumed, bytes of files given as rows (profile_id, content)."""
 
     def run(batches):
         for batch in batches:
-            rows = []
-            for name, raw in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
+            found = []
+            for name, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 try:
                     got, used = salvage(raw)
                 except BadProfile:
                     got, used = [], 0
-                rows.append((name, wire_kind(raw), len(got), used, len(raw)))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()))], ["profile_id", "wire", "records", "bytes_consumed", "bytes"])
+                found.append((name, wire_kind(raw), len(got), used, len(raw)))
+            kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64())
+            columns = list(zip(*found)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["profile_id", "wire", "records", "bytes_consumed", "bytes"])
+
+    return rows.mapInArrow(run, "profile_id string, wire string, records long, bytes_consumed long, bytes long")
+
+
+def salvaged(spark: SparkSession, path: str) -> DataFrame:
+    """profile_id, wire, records, bytes_consumed, bytes of each profile at path."""
+    ship(spark)
+    return _salvaged(_files(spark, path))
 
-    return _files(spark, path).mapInArrow(run, "profile_id string, wire string, records long, bytes_consumed long, bytes long")
 
+def salvaged_bytes(files: DataFrame) -> DataFrame:
+    """The same of files that are rows (profile_id, content), as encoded() gives them."""
+    ship(files.sparkSession)
+    return _salvaged(files.select("profile_id", "content"))
 
-def side_records(spark: SparkSession, path: str) -> DataFrame:
-    """profile_id, kind (source, index or summary), a, b, c, text of the mixed profiles at path; c is null for source."""
+
+def side_records(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """profile_id, place and the records of one kind of the mixed profiles at path, in columns of their own names: source
+    (fid, line, text), index (key_id, file_offset, length, label), summary (key_id, count, value, label) or footer
+    (key_id, value, label), which is for files whose footer isn't a dictionary."""
     ship(spark)
+    fields = {name: own for name, own in wire_v6.SIDE.values()}[kind]
+    kinds = [pa.string(), pa.int64(), *[_ARROW[k] for _, k in fields]]
+    names = ["profile_id", "place", *[c for c, _ in fields]]
 
     def run(batches):
         for batch in batches:
             for name, raw in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
-                rows = [(name, kind, r[0], r[1], r[2] if len(r) > 3 else None, r[-1]) for kind, own in wire_v6.side_records(raw).items() for r in own]
+                rows = [(name, i, *r) for i, r in enumerate(wire_v6.side_records(raw, footer=kind == "footer")[kind])]
                 if rows:
-                    kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string())
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["profile_id", "kind", "a", "b", "c", "text"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
-    return _files(spark, path).mapInArrow(run, "profile_id string, kind string, a long, b long, c long, text string")
+    return _files(spark, path).mapInArrow(run, "profile_id string, place long, " + ", ".join(f"{c} {'string' if k == 's' else 'long'}" for c, k in fields))
 
 
 def encoded(events: DataFrame, wire: str = "v5", **options) -> DataFrame:
@@ -123,6 +142,27 @@ def encoded(events: DataFrame, wire: str = "v5", **options) -> DataFrame:
     return events.groupBy("profile_id").applyInArrow(run, "profile_id string, content binary")
 
 
+def write(events: DataFrame, folder: str, wire: str = "v5", **options) -> DataFrame:
+    """A file of each profile in a folder that all machines share, under a name of its own; profile_id, path of each. A
+    file is moved to its name when it is whole; of a task that was run twice, the path returned is the one to read."""
+    spark = events.sparkSession
+    fs, root = filesystem(folder)
+    fs.create_dir(root)
+
+    def run(batches):
+        fs, root = filesystem(folder)
+        for batch in batches:
+            names = []
+            for raw in batch.column("content").to_pylist():
+                names.append(f"{uuid.uuid4().hex}.{wire}")
+                with fs.open_output_stream(f"{root}/.{names[-1]}.part") as out:
+                    out.write(raw)
+                fs.move(f"{root}/.{names[-1]}.part", f"{root}/{names[-1]}")
+            yield pa.RecordBatch.from_arrays([batch.column("profile_id"), pa.array([f"{folder}/{n}" for n in names], pa.string())], ["profile_id", "path"])
+
+    return stage(encoded(events, wire, **options).mapInArrow(run, "profile_id string, path string"), "written")
+
+
 def convert(spark: SparkSession, path: str, wire: str, **options) -> DataFrame:
     """The profiles at path in a wire format; the same one repacks."""
     return encoded(read(spark, path), wire, **options)

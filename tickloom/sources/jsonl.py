@@ -6,6 +6,9 @@ columns fail-closed: FAILFAST raises on the first bad record, SKIP leaves bad re
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable, Iterable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -89,3 +92,33 @@ def lines(events: DataFrame) -> DataFrame:
     body = events.select("profile_id", "seq", F.concat(F.lit('{"args":['), args, F.lit('],"seq":'), F.col("seq").cast("string"), F.lit(',"tag":"'), F.col("tag"), F.lit('"}')).alias("value"))
     ends = events.groupBy("profile_id").agg((F.coalesce(F.max("seq"), F.lit(-1)) + 1).alias("seq"))
     return body.unionByName(ends.withColumn("value", F.concat(F.lit('{"args":[],"seq":'), F.col("seq").cast("string"), F.lit(f',"tag":"{schemas.END}"}}'))))
+
+
+def for_each(source: Iterable[str], handlers: dict[str, Callable], *, on_error: str = "raise") -> int:
+    """Call handlers[tag](args, seq) for each record of a dump on the driver, or handlers["*"](tag, args, seq) where the
+    tag has none; the number of records. source is any lines: an open file, a process's output, or lines() of a profile
+    by toLocalIterator. A record at a time is held; the closing record is given out like others. Records of tags without
+    a handler count too. on_error "skip" passes over lines that aren't records.
+    """
+    if on_error not in ("raise", "skip"):
+        raise ValueError(f"on_error {on_error}: raise or skip")
+    count, rest = 0, handlers.get("*")
+    for line in source:
+        line = line.lstrip("\ufeff").strip()
+        if not line:
+            continue
+        try:
+            record = json.loads(line)
+            tag, args, seq = record["tag"], record.get("args") or [], record.get("seq")
+            if not isinstance(tag, str) or not isinstance(args, list):
+                raise TypeError("tag or args")
+        except (ValueError, KeyError, TypeError, AttributeError) as e:
+            if on_error == "raise":
+                raise ValueError(f"bad event record: {line[:200]}") from e
+            continue
+        count += 1
+        if tag in handlers and tag != "*":
+            handlers[tag](args, seq)
+        elif rest:
+            rest(tag, args, seq)
+    return count

@@ -100,3 +100,66 @@ def fan_out(*sinks: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, in
 def to_folder(path: str) -> Callable[[DataFrame, int], None]:
     """Parquet by batch number: a batch that comes again replaces what it wrote."""
     return lambda batch, number: batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+
+class Counting:
+    """A sink that writes nothing: records by tag, in all, and without the control record START_DEFLATE, and the highest
+    seq. A batch that comes again counts once. Only counts by tag come to the driver."""
+
+    def __init__(self):
+        self.batches: dict[int, dict[str, tuple[int, int]]] = {}
+
+    def __call__(self, batch: DataFrame, number: int) -> None:
+        rows = batch.groupBy("tag").agg(F.count("*").alias("n"), F.max("seq").alias("last")).collect()
+        self.batches[number] = {r.tag: (r.n, r["last"]) for r in rows}
+
+    @property
+    def by_tag(self) -> dict[str, int]:
+        out: dict[str, int] = {}
+        for one in self.batches.values():
+            for tag, (n, _) in one.items():
+                out[tag] = out.get(tag, 0) + n
+        return out
+
+    @property
+    def total(self) -> int:
+        return sum(self.by_tag.values())
+
+    @property
+    def logical(self) -> int:
+        return self.total - self.by_tag.get("START_DEFLATE", 0)
+
+    @property
+    def last_seq(self) -> int | None:
+        return max((seq for one in self.batches.values() for _, seq in one.values()), default=None)
+
+
+def unequal(left: DataFrame, right: DataFrame) -> DataFrame:
+    """tag, left, right, same_places: where two sinks' records differ in number by tag, or in which seq they have. By
+    counts and sums of hashes, so neither side is sorted or joined row by row."""
+    place = F.sum(F.xxhash64(P, "seq", "tag").cast("decimal(38,0)"))
+    one = lambda e, n: e.where("tag <> 'START_DEFLATE'").groupBy("tag").agg(F.count("*").alias(n), place.alias(f"{n}_places"))
+    both = one(left, "left").join(one(right, "right"), "tag", "full")
+    both = both.select("tag", F.coalesce("left", F.lit(0)).alias("left"), F.coalesce("right", F.lit(0)).alias("right"), F.col("left_places").eqNullSafe(F.col("right_places")).alias("same_places"))
+    return both.where("left <> right OR NOT same_places")
+
+
+def dual(left: str, right: str) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that writes each batch to two folders, as Parquet and as JSON lines, reads both back and
+    fails the batch where they differ. It is tried again with the same number and replaces what it wrote."""
+
+    def each(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        batch = batch.persist()
+        try:
+            batch.write.mode("overwrite").parquet(f"{left}/batch={number}")
+            jsonl.lines(batch).select(P, "value").write.mode("overwrite").json(f"{right}/batch={number}")
+        finally:
+            batch.unpersist()
+        first = spark.read.schema(schemas.EVENTS).parquet(f"{left}/batch={number}")
+        second = jsonl.parse(spark.read.schema(f"{P} string, value string").json(f"{right}/batch={number}").withColumnRenamed("value", "raw"))
+        bad = unequal(first, second).collect()  # a row for each tag at most
+        if bad:
+            raise RuntimeError(f"batch {number}: the sinks differ in {', '.join(r.tag for r in bad)}")
+
+    return each
