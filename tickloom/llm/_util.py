@@ -1,103 +1,89 @@
-"""Shared helpers: staging in the cluster's shared folder and bounded grouped maps."""
+"""Shared helpers: bounded grouped maps, union-find, Bloom filters, ranks without a single task."""
 
 from __future__ import annotations
 
-import atexit
 import ctypes
 import gc
-import os
-import tempfile
-import uuid
+import itertools
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-_STAGED: list[tuple[SparkSession, str]] = []
+from tickloom.staging import discard, filesystem, settled, shared_root, stage, workspace  # noqa: F401  for this subpackage
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a fresh local one only where none is set (tests, local mode)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        root = held.get() if held.isDefined() else None
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="tickloom-")
-        spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/")
+def ddl(df: DataFrame) -> str:
+    """df's columns as a schema, for maps that keep them."""
+    return ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in df.schema.fields)
 
 
-def workspace(spark: SparkSession, label: str) -> str:
-    """A new, empty path in the shared folder, removed when the driver ends."""
-    path = f"{shared_root(spark)}/tickloom/{label}-{uuid.uuid4().hex}"
-    if not _STAGED:
-        atexit.register(_clean)
-    _STAGED.append((spark, path))
-    return path
+def whole(df: DataFrame, name: str = "row"):
+    """All columns of df as one struct, so that no name of theirs clashes with one of an operator's own."""
+    return F.struct(*[F.col(f"`{c.replace('`', '``')}`") for c in df.columns]).alias(name)
 
 
-def _clean() -> None:
-    for spark, path in _STAGED:
-        try:
-            hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
-        except Exception:  # noqa: BLE001  the session has ended; a cluster's own expiry of the folder takes over
-            return
+def ranged(df: DataFrame, *order, label: str) -> DataFrame:
+    """df dealt out by range of order and staged with `part`, the number of its range: all of a part come before all of
+    the next. As it is staged, a range keeps its rows whatever is lost and run again."""
+    return stage(df.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), label)
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
-    """Cut the lineage: write df as Parquet to the shared folder and read it again."""
-    spark = df.sparkSession
-    path = workspace(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def before(parts: DataFrame, value, *, by: list[str] | None = None) -> DataFrame:
+    """by, part, before: the sum of value over the parts before, from a table in which each part has many rows."""
+    sums = parts.groupBy(*(by or []), "part").agg(value.alias("part_sum"))
+    over = Window.partitionBy(*(by or [])).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    return sums.select(*(by or []), "part", F.coalesce(F.sum("part_sum").over(over), F.lit(0)).alias("before"))
 
 
-def filesystem(uri: str):
-    """(pyarrow filesystem, path) of a shared folder's URI; usable on the driver and in executors."""
-    from pyarrow import fs
+def grouped(df: DataFrame, keys: list[str], fn, schema: str) -> DataFrame:
+    """Pairs (a, b) of bytes that fn(table) returns for each run of equal integer keys, a whole group at a time. Callers
+    bound the size of a group (tiles)."""
+    names = [x.split()[0] for x in schema.split(", ")]
 
-    if "://" not in uri and uri.startswith("file:"):
-        uri = "file://" + uri[len("file:") :]
-    return fs.FileSystem.from_uri(uri if "://" in uri else "file://" + os.path.abspath(uri))
+    def run(batches):
+        held, last, found = [], None, []
 
+        def pairs():
+            a, b = zip(*found)
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names)
 
-def grouped(df: DataFrame, keys: list[str], fn, schema: str) -> DataFrame:
-    """fn(key tuple, frame) for each run of equal keys, a whole group at a time, without one Python call for each tiny
-    Arrow batch. Callers bound the size of a group (tiles, buckets)."""
+        def closed():
+            if sum(b.num_rows for b in held) > 1:
+                found.extend(fn(pa.Table.from_batches(held)))
 
-    def run(batches):
-        held = None
-        for pdf in batches:
-            if held is not None:
-                pdf = pd.concat([held, pdf], ignore_index=True)
-            if pdf.empty:
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            change = np.zeros(len(pdf), dtype=bool)
-            for k in keys:
-                v = pdf[k].to_numpy()
+            columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
+            change = np.zeros(len(batch), dtype=bool)
+            for v in columns:
                 change[1:] |= v[1:] != v[:-1]
-            cuts = [0, *np.flatnonzero(change).tolist()]
-            for a, b in zip(cuts, cuts[1:]):
-                got = fn(pdf.iloc[a:b].reset_index(drop=True))
-                if got is not None and len(got):
-                    yield got
-            held = pdf.iloc[cuts[-1] :].reset_index(drop=True)
-        if held is not None and len(held):
-            got = fn(held)
-            if got is not None and len(got):
-                yield got
-        held = None
+            for a, b in itertools.pairwise([0, *np.flatnonzero(change).tolist(), len(batch)]):
+                key = tuple(v[a] for v in columns)
+                if key != last and held:
+                    closed()
+                    held = []
+                    if len(found) > 1000:
+                        yield pairs()
+                        found = []
+                held.append(batch.slice(a, b - a))
+                last = key
+        if held:
+            closed()
+        if found:
+            yield pairs()
+        held = found = None
         release()
 
-    return df.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, schema)
+    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
 
 
 def release() -> None:
     """Give what a task has freed back to the system: Python workers outlive tasks, and their memory counts."""
     gc.collect()
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
     except (AttributeError, OSError):  # another C library
@@ -148,6 +134,10 @@ class Bloom:
         table[words["w"].to_numpy()] = words["v"].to_numpy().astype(np.uint32)
         self.held = df.sparkSession.sparkContext.broadcast(table)
 
+    def unpersist(self) -> None:
+        """Executors may forget the table; it is sent again to those that ask."""
+        self.held.unpersist()
+
     def test(self):
         """A function for executors: int64 hashes -> mask of those that may be in."""
         held, bits, hashes = self.held, self.bits, self.HASHES
