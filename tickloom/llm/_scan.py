@@ -125,16 +125,22 @@ def texts(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return LOWER[buf], offsets - a
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 20):
-    """Parts of a batch with about `most` bytes of text each, at least a row."""
-    sizes = np.asarray(pa.compute.binary_length(batch.column(column)).fill_null(0)).astype(np.int64)
+def cuts(column: pa.Array, most: int = 1 << 20):
+    """(start, length) of runs of rows with about `most` bytes of text each, at least a row."""
+    sizes = np.asarray(pa.compute.binary_length(column).fill_null(0)).astype(np.int64)
     ends, start, total = np.cumsum(sizes), 0, 0
     while start < len(sizes):
         stop = max(start + 1, int(np.searchsorted(ends, total + most, "right")))
-        yield batch.slice(start, stop - start)
+        yield start, stop - start
         start, total = stop, int(ends[stop - 1])
 
 
+def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 20):
+    """Parts of a batch with about `most` bytes of text each, at least a row."""
+    for start, length in cuts(batch.column(column), most):
+        yield batch.slice(start, length)
+
+
 def windows(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(hash, index of the first word) of each run of k words within a text."""
     h = fold(words.hashes, k)
