@@ -1,12 +1,14 @@
 """Language identification by a word-first backoff.
 
 A known word adds its log frequency in each language. An unseen word is cut at each of its characters into the longest
-known character n-gram that ends there, from NGRAM down to one, each step down costing BACKOFF; those log frequencies
-are added instead. The sum over a text's words, divided by the root of their number, gives posteriors by softmax.
-
-The model is fitted on a bounded sample: per language about `per_language` different texts, chosen by a hash of the
-text. Words and n-grams are counted by Spark; the most frequent MOST_WORDS and MOST_NGRAMS are kept, so the model that
-is collected and broadcast has a fixed bound whatever the corpus. More than MOST_LANGUAGES languages are an error.
+known character n-gram that ends there, from NGRAM down to one; those log frequencies are added instead (a step down
+costs the same in every language, so it doesn't count). The sum over a text's words, divided by the root of their
+number, gives posteriors by softmax.
+
+The model is fitted on a bounded sample of labelled rows: about `per_language` different texts a language, and `in_all`
+of all languages, chosen by a hash of the text. Everything in the sample counts: words from two occurrences on are known,
+others are read by their n-grams. Frequencies are kept sparse, an entry for each language that a word or n-gram was seen
+in, so languages cost what they were seen with, however many they are.
 """
 
 from __future__ import annotations
@@ -14,102 +16,154 @@ from __future__ import annotations
 import math
 import pickle
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm import _scan
-from tickloom.llm._util import release, stage
+from tickloom.llm._util import ddl, release, stage
 from tickloom.shipping import ship
 
-PER_LANGUAGE, MOST_WORDS, MOST_NGRAMS, MOST_LANGUAGES = 4000, 150_000, 100_000, 500
-NGRAM, BACKOFF, ALPHA = 4, math.log(0.4), 0.5
-#: Longer runs of letters are words like others, but no n-grams are learnt from them.
-LONGEST = 100
+PER_LANGUAGE, IN_ALL = 4000, 200_000
+NGRAM, ALPHA, KNOWN_FROM = 4, 0.5, 2
 UNKNOWN = "und"
 _LETTERS = re.compile(r"[^\W\d_]+").findall
 
 
-def fit(train: DataFrame, *, text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> dict:
-    """A model from rows whose text and language are not null; without any, it has no languages."""
-    rows = train.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).dropna()
-    texts = rows.select("lang", F.md5("text").alias("k")).distinct()  # copies don't thin out the sample
-    sizes = {r.lang: r["count"] for r in texts.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()}
-    if len(sizes) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages in {lang_col}")
-    langs = sorted(sizes)
+def _words(text: str | None) -> list[str]:
+    """The runs of letters of a text, in lower case: the same in training and prediction."""
+    return _LETTERS(text.lower()) if text else []
+
+
+def _counted(batches):
+    """kind (0 word, 1 n-gram), g, lang, c of the texts of a batch (lang, text)."""
+    for batch in batches:
+        for part in _scan.slices(batch, "text", 1 << 19):
+            by: dict[str, Counter] = {}
+            for lang, text in zip(part.column("lang").to_pylist(), part.column("text").to_pylist()):
+                by.setdefault(lang, Counter()).update(_words(text))
+            for lang, words in by.items():
+                grams: Counter = Counter()
+                for w, c in words.items():
+                    w = f"^{w}$"
+                    for n in range(1, NGRAM + 1):
+                        for i in range(len(w) - n + 1):
+                            grams[w[i : i + n]] += c
+                for kind, found in ((0, words), (1, grams)):
+                    rows = len(found)
+                    yield pa.RecordBatch.from_arrays([pa.array([kind] * rows, pa.int32()), pa.array(list(found), pa.string()), pa.array([lang] * rows, pa.string()), pa.array(list(found.values()), pa.int64())], ["kind", "g", "lang", "c"])
+    release()
+
+
+def fit(train: DataFrame, *, text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, in_all: int = IN_ALL) -> dict:
+    """A model from rows whose text and language are not null; without any, it has no languages.
+
+    Copies of a text count once. Of which texts are taken a hash of the text decides, so repeated rows, their order and
+    ties don't matter; texts of any length are read whole.
+    """
+    ship(train.sparkSession)
+    rows = train.select(F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang")).dropna()
+    digest = F.md5("text")
+    sizes = stage(rows.select("lang", digest.alias("k")).distinct().groupBy("lang").agg(F.count("*").alias("texts")), "languages")
+    langs = sorted(r.lang for r in sizes.select("lang").collect())
     if not langs:
-        return {"langs": [], "words": {}, "grams": {}, "word_scores": None, "gram_scores": None}
-    share = F.create_map(*[F.lit(x) for lang in langs for x in (lang, min(1.0, per_language / sizes[lang]))])
-    at = F.conv(F.substring(F.md5("text"), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
-    sample = rows.where(F.col("lang").isin(langs)).where(at < share[F.col("lang")]).groupBy("lang", F.md5("text").alias("k")).agg(F.first("text").alias("text"))
-    words = sample.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("g")).groupBy("g", "lang").agg(F.count("*").alias("c"))
-    words = stage(words, "word-counts")
-    padded = F.concat(F.lit("^"), F.col("g"), F.lit("$"))
-    cuts = [F.transform(F.sequence(F.lit(1), F.greatest(F.length(padded) - n + 1, F.lit(1))), lambda i, n=n: F.substring(padded, i, F.lit(n))) for n in range(1, NGRAM + 1)]
-    grams = words.where(F.length("g") <= LONGEST).select("lang", "c", F.explode(F.concat(*cuts)).alias("g")).groupBy("g", "lang").agg(F.sum("c").alias("c"))
-    known_words, word_scores = _table(words, langs, MOST_WORDS, least=2)
-    known_grams, gram_scores = _table(grams, langs, MOST_NGRAMS, least=1)
-    return {"langs": langs, "words": known_words, "grams": known_grams, "word_scores": word_scores, "gram_scores": gram_scores}
-
-
-def _table(counts: DataFrame, langs: list[str], most: int, least: int) -> tuple[dict[str, int], np.ndarray]:
-    """The most frequent entries, and their log frequencies in each language with a row for all others at the end."""
-    wide = counts.groupBy("g").agg(F.sum("c").alias("total"), *[F.coalesce(F.sum(F.when(F.col("lang") == lang, F.col("c"))), F.lit(0)).alias(f"l{i}") for i, lang in enumerate(langs)])
-    got = wide.where(F.col("total") >= least).orderBy(F.desc("total"), "g").limit(most).toArrow()
-    n = np.stack([got[f"l{i}"].to_numpy().astype(np.float64) for i in range(len(langs))], axis=1)
-    n = np.vstack([n, np.zeros(len(langs))]) + ALPHA
-    return {g: i for i, g in enumerate(got["g"].to_pylist())}, np.log(n / n.sum(axis=0)).astype(np.float32)
+        return {"langs": []}
+    share = F.lit(float(max(1, min(per_language, in_all // len(langs))))) / F.col("texts")
+    at = F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
+    sizes = sizes.withColumnRenamed("lang", "s_lang")
+    sample = rows.join(sizes, F.col("lang") == F.col("s_lang")).where(at < share).groupBy("lang", digest.alias("k")).agg(F.first("text").alias("text"))
+    counts = sample.select("lang", "text").mapInArrow(_counted, "kind int, g string, lang string, c long")
+    counts = stage(counts.groupBy("kind", "g", "lang").agg(F.sum("c").alias("c")), "frequencies")
+    return {"langs": langs, "words": _table(counts.where("kind = 0"), langs, KNOWN_FROM), "grams": _table(counts.where("kind = 1"), langs, 1)}
+
+
+def _table(counts: DataFrame, langs: list[str], least: int) -> dict:
+    """keys; for each, from first[i] to first[i + 1], languages and by how much they are above `base`, the log frequency
+    of what a language wasn't seen with."""
+    got = counts.groupBy("g").agg(F.sum("c").alias("total"), F.sort_array(F.collect_list(F.struct("lang", "c"))).alias("of")).where(F.col("total") >= least)
+    got = got.select("g", F.col("of.lang").alias("lang"), F.col("of.c").alias("c")).toArrow().combine_chunks()
+    if not len(got):
+        return {"keys": [], "first": np.zeros(1, np.int64), "lang": np.zeros(0, np.int32), "above": np.zeros(0, np.float32), "base": np.zeros(len(langs))}
+    lists = got["lang"].combine_chunks()
+    lang = pc.index_in(lists.flatten(), pa.array(langs)).to_numpy().astype(np.int32)
+    c = got["c"].combine_chunks().flatten().to_numpy().astype(np.float64)
+    sums = np.bincount(lang, weights=c, minlength=len(langs))
+    first = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())]).astype(np.int64)
+    return {"keys": got["g"].to_pylist(), "first": first, "lang": lang, "above": np.log((c + ALPHA) / ALPHA).astype(np.float32), "base": np.log(ALPHA / (sums + ALPHA * (len(got) + 1)))}
 
 
 class Scorer:
-    """Posteriors of texts under a model; remembers the scores of words, up to a bound."""
-
-    def __init__(self, model: dict, most: int = 400_000):
-        self.model, self.most = model, most
-        self._reset()
-
-    def _reset(self) -> None:
-        self.rows = dict(self.model["words"])
-        self.scores = self.model["word_scores"]
-
-    def _unseen(self, word: str) -> np.ndarray:
-        grams, table = self.model["grams"], self.model["gram_scores"]
-        word, hits, cost = f"^{word}$", [], 0
-        for end in range(2, len(word)):
-            for n in range(min(NGRAM, end), 0, -1):
-                row = grams.get(word[end - n : end])
-                if row is not None:
-                    break
-                cost += 1
-            hits.append(len(table) - 1 if row is None else row)
-        return table[hits].sum(axis=0) + np.float32(cost * BACKOFF)
+    """Posteriors of texts under a model. Nothing is remembered from one call to the next."""
+
+    def __init__(self, model: dict):
+        self.langs = model["langs"]
+        if self.langs:
+            self.words, self.grams = model["words"], model["grams"]
+            self.word_keys, self.gram_keys = (pa.array(t["keys"], pa.string()) for t in (self.words, self.grams))
+
+    @staticmethod
+    def _spread(table: dict, rows: np.ndarray, own: np.ndarray, owners: int, langs: int) -> np.ndarray:
+        """owners x langs: the sums of table's rows, each added to its owner."""
+        a, b = table["first"][rows], table["first"][rows + 1]
+        lengths = b - a
+        at = np.repeat(a - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths) + np.arange(int(lengths.sum()))
+        place = np.repeat(own, lengths) * langs + table["lang"][at]
+        sums = np.bincount(place, weights=table["above"][at], minlength=owners * langs).astype(np.float64)  # of none, integers
+        return sums.reshape(owners, langs)
+
+    def _unseen(self, words: list[str]) -> np.ndarray:
+        """words x languages: what their n-grams add."""
+        pieces, own = [], []
+        for k, w in enumerate(words):
+            w = f"^{w}$"
+            for end in range(2, len(w) + 1):
+                for n in range(NGRAM, 0, -1):
+                    pieces.append(w[end - n : end] if n <= end else "")
+            own += [k] * (len(w) - 1)
+        found = pc.index_in(pa.array(pieces, pa.string()), self.gram_keys).fill_null(-1).to_numpy().reshape(-1, NGRAM)
+        known = found >= 0
+        row = found[np.arange(len(found)), known.argmax(axis=1)]
+        own = np.array(own, dtype=np.int64)
+        hit = row >= 0  # else no n-gram is known, not even the last character: as rare as can be in each language
+        out = self._spread(self.grams, row[hit], own[hit], len(words), len(self.langs))
+        return out + np.bincount(own, minlength=len(words))[:, None] * self.grams["base"]
 
     def score(self, raw: list[str | None]) -> tuple[list[str], list[float]]:
-        langs, best, top = self.model["langs"], [], []
-        words = [_LETTERS(t.lower()) if t else [] for t in raw]
-        if langs:
-            new = list({w for own in words for w in own if w not in self.rows})
-            if new:
-                if len(self.rows) + len(new) > self.most and len(self.rows) > len(self.model["words"]):
-                    self._reset()
-                    new = list({w for own in words for w in own if w not in self.rows})
-                start = len(self.scores)
-                self.rows.update((w, start + i) for i, w in enumerate(new))
-                self.scores = np.vstack([self.scores, *[self._unseen(w)[None] for w in new]])
-        for own in words:
-            if not langs or not any(any(c.isalpha() for c in w) for w in own):
+        words = [_words(t) for t in raw]
+        sizes = np.array([len(own) for own in words], dtype=np.int64)
+        judged = [bool(self.langs) and any(w.isalpha() or any(map(str.isalpha, w)) for w in own) for own in words]
+        if not any(judged):
+            return [UNKNOWN] * len(raw), [0.0] * len(raw)
+        said = pa.array([w for own in words for w in own], pa.string()).dictionary_encode()
+        different, at = said.dictionary, said.indices.to_numpy()
+        row = pc.index_in(different, self.word_keys).fill_null(-1).to_numpy()
+        doc, at_row = np.repeat(np.arange(len(raw)), sizes), row[at]
+        known = at_row >= 0
+        total = self._spread(self.words, at_row[known], doc[known], len(raw), len(self.langs))
+        total += np.bincount(doc[known], minlength=len(raw))[:, None] * self.words["base"]
+        new = np.flatnonzero(row < 0)
+        if len(new):
+            extra = self._unseen(different.take(pa.array(new)).to_pylist())
+            place = np.full(len(row), -1)
+            place[new] = np.arange(len(new))
+            of, by = place[at[~known]], doc[~known]
+            for k in range(len(self.langs)):
+                total[:, k] += np.bincount(by, weights=extra[of, k], minlength=len(raw))
+        best, top = [], []
+        for i, ok in enumerate(judged):
+            if not ok:
                 best.append(UNKNOWN)
                 top.append(0.0)
                 continue
-            total = self.scores[np.fromiter(map(self.rows.__getitem__, own), dtype=np.int64, count=len(own))].sum(axis=0, dtype=np.float64) / math.sqrt(len(own))
-            p = np.exp(total - total.max())
-            p /= p.sum()
-            i = int(p.argmax())
-            best.append(langs[i])
-            top.append(float(p[i]))
+            own = total[i] / math.sqrt(sizes[i])
+            p = np.exp(own - own.max())
+            k = int(p.argmax())
+            best.append(self.langs[k])
+            top.append(float(p[k] / p.sum()))
         return best, top
 
 
@@ -127,12 +181,11 @@ def predict(docs: DataFrame, model: dict, *, text_col: str = "text", names: tupl
     def run(batches):
         scorer = None
         for batch in batches:
-            for part in _scan.slices(batch, text_col):
+            for part in _scan.slices(batch, text_col, 1 << 19):
                 scorer = scorer or Scorer(pickle.loads(held.value))
                 best, top = scorer.score(part.column(text_col).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(best, pa.string()), pa.array(top, pa.float64())], [*part.schema.names, *names])
         scorer = None
         release()
 
-    fields = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{fields}, `{names[0]}` string, `{names[1]}` double")
+    return docs.mapInArrow(run, f"{ddl(docs)}, `{names[0]}` string, `{names[1]}` double")
