@@ -1,7 +1,8 @@
 """Token-id shards as sorted string tables.
 
-A shard holds documents in ascending key order. A key is the id as eight big-endian bytes with the sign bit turned, so
-that bytes sort as ids do; a null id is the empty key and comes first. Layout of a shard:
+A shard holds documents in ascending key order. The key of an integer id is eight big-endian bytes with the sign bit
+turned, that of a string id a byte 1 and its UTF-8 bytes, so that bytes sort as ids do; a null id is the empty key and
+comes first. Layout of a shard:
 
     magic | block* | index | Bloom filter | footer
 
@@ -39,12 +40,21 @@ MAGIC = b"TLSST001"
 BLOCK_BYTES, BLOOM_BITS, BLOOM_HASHES = 128 << 10, 10, 7
 
 
-def key_of(doc_id: int | None) -> bytes:
+def key_of(doc_id: int | str | None) -> bytes:
+    if isinstance(doc_id, str):
+        return b"\x01" + doc_id.encode()
     return b"" if doc_id is None else struct.pack(">Q", doc_id + (1 << 63))
 
 
-def id_of(key: bytes) -> int | None:
-    return struct.unpack(">Q", key)[0] - (1 << 63) if key else None
+def id_of(key: bytes, text: bool = False) -> int | str | None:
+    if not key:
+        return None
+    return key[1:].decode() if text else struct.unpack(">Q", key)[0] - (1 << 63)
+
+
+def _id_kind(docs: DataFrame) -> str:
+    """Ids are strings or whole numbers."""
+    return "string" if docs.schema["doc_id"].dataType.typeName() in ("string", "char", "varchar") else "long"
 
 
 def _varint(n: int) -> bytes:
@@ -187,12 +197,13 @@ class Reader:
 MANIFEST = "path string, low binary, high binary, documents long, ids long, bytes long"
 
 
-def write(docs: DataFrame, tokenizer: str, *, end_id: int = 2, shards: int | None = None, folder: str | None = None, remember: int = 1_200_000, batch_bytes: int = 8 << 20, across_tasks: bool = True) -> DataFrame:
+def write(docs: DataFrame, tokenizer: str, *, end_id: int = 2, shards: int | None = None, folder: str | None = None, remember: int = 256 << 20, batch_bytes: int = 8 << 20, across_tasks: bool = True) -> DataFrame:
     """Encode docs (doc_id, text), range-partition by doc_id and write a shard for each range; the manifest.
 
     Null texts are empty, null ids come first, rows of one id stay together, ordered by text. `tokenizer` is the
-    tokenizer's JSON (about 2 MB, broadcast). A worker encodes batch_bytes of text at a time and remembers the ids of that
-    many stretches of text, about 250 bytes each, for later tasks too if across_tasks. An empty table gives an empty manifest.
+    tokenizer's JSON (about 2 MB, broadcast). A worker encodes batch_bytes of text at a time, texts whole, and remembers
+    the ids of stretches of text within `remember` bytes, for later tasks too if across_tasks. Ids are strings or whole
+    numbers; other columns are ignored. An empty table gives an empty manifest.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -200,7 +211,7 @@ def write(docs: DataFrame, tokenizer: str, *, end_id: int = 2, shards: int | Non
     fs, root = filesystem(folder)
     fs.create_dir(root)
     spec = spark.sparkContext.broadcast(tokenizer)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.select(F.col("doc_id").cast(_id_kind(docs)).alias("doc_id"), F.col("text").cast("string").alias("text"))
     order = [F.asc_nulls_first("doc_id"), F.asc_nulls_first("text")]
     ranged = docs.repartitionByRange(shards, order[0]) if shards else docs.repartitionByRange(order[0])
 
@@ -230,18 +241,21 @@ def write(docs: DataFrame, tokenizer: str, *, end_id: int = 2, shards: int | Non
     return stage(ranged.sortWithinPartitions(*order).mapInArrow(run, MANIFEST), "manifest")
 
 
-def read(spark: SparkSession, manifest: DataFrame) -> DataFrame:
-    """The documents of the shards: doc_id, start (ids before it in key order), ids (little-endian unsigned 32-bit)."""
-    return _per_document(spark, manifest, "doc_id long, start long, ids binary", [pa.int64(), pa.int64(), pa.binary()], lambda ids: [ids.astype("<u4").tobytes()])
+def read(spark: SparkSession, manifest: DataFrame, ids: str = "long") -> DataFrame:
+    """The documents of the shards: doc_id, start (ids before it in key order), ids (little-endian unsigned 32-bit).
+    ids: the type of doc_id, long or string."""
+    return _per_document(spark, manifest, f"doc_id {ids}, start long, ids binary", [pa.int64(), pa.binary()], lambda ids: [ids.astype("<u4").tobytes()])
 
 
-def digest(spark: SparkSession, manifest: DataFrame) -> DataFrame:
+def digest(spark: SparkSession, manifest: DataFrame, ids: str = "long") -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of the documents, as read back from the shards."""
-    return _per_document(spark, manifest, "doc_id long, start long, n_tokens long, ids_crc32 long", [pa.int64()] * 4, lambda ids: [len(ids), zlib.crc32(ids.astype("<u4").tobytes())])
+    return _per_document(spark, manifest, f"doc_id {ids}, start long, n_tokens long, ids_crc32 long", [pa.int64()] * 3, lambda ids: [len(ids), zlib.crc32(ids.astype("<u4").tobytes())])
 
 
 def _per_document(spark, manifest, schema, kinds, values) -> DataFrame:
     ship(spark)
+    text = schema.startswith("doc_id string")
+    kinds = [pa.string() if text else pa.int64(), *kinds]
     names = [x.split()[0] for x in schema.split(", ")]
     before = F.coalesce(F.sum("ids").over(Window.orderBy("low", "high", "path").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     shards = manifest.select("path", before.alias("before"))  # a row for each shard
@@ -256,24 +270,28 @@ def _per_document(spark, manifest, schema, kinds, values) -> DataFrame:
                     for i in range(len(reader.index)):
                         rows = []
                         for key, ids in reader.block(i):
-                            rows.append([id_of(key), start, *values(ids)])
+                            rows.append([id_of(key, text), start, *values(ids)])
                             start += len(ids)
                         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
     return shards.repartition(count).mapInArrow(run, schema)
 
 
-def lookup(manifest: DataFrame, doc_ids: list[int]) -> dict[int, list[list[int]]]:
-    """Token ids of some documents by binary search: only shards whose range has an id are opened."""
-    out: dict[int, list[list[int]]] = {}
-    for doc_id in doc_ids:
-        key = key_of(doc_id)
-        for row in manifest.where((F.col("low") <= F.lit(key)) & (F.col("high") >= F.lit(key))).select("path").toLocalIterator():
-            fs, at = filesystem(row.path)
-            with fs.open_input_file(at) as file:
-                got = [v.tolist() for v in Reader(file).get(key)]
-            if got:
-                out.setdefault(doc_id, []).extend(got)
+def lookup(manifest: DataFrame, doc_ids: list) -> dict:
+    """Token ids of some documents by binary search: one job finds the shards whose range has an id, and they alone are
+    opened, each once."""
+    keys = {key_of(d): d for d in doc_ids}
+    if not keys:
+        return {}
+    has = F.exists(F.array(*[F.lit(k) for k in keys]), lambda k: (F.col("low") <= k) & (F.col("high") >= k))
+    out: dict = {}
+    for row in manifest.where(has).select("path", "low", "high").toLocalIterator():
+        fs, at = filesystem(row.path)
+        with fs.open_input_file(at) as file:
+            reader = Reader(file)
+            for key, doc_id in keys.items():
+                if row.low <= key <= row.high and (got := [v.tolist() for v in reader.get(key)]):
+                    out.setdefault(doc_id, []).extend(got)
     return out
 
 

@@ -4,13 +4,14 @@ A tokenizer of this family cuts a text in pieces before it merges bytes, and a p
 start. So a single space or newline between other characters always begins a piece, and the ids of a text are those of
 its stretches between such places, one after the other. Stretches repeat; each is given to the library once, as long as
 it is remembered. A text with any other white space, or with the string of an added token, which the library cuts out
-before all else, goes to the library whole.
+before all else, goes to the library whole, and so does every text with a tokenizer of any other family.
 """
 
 from __future__ import annotations
 
 import array
 import itertools
+import json
 import os
 import re
 
@@ -20,6 +21,15 @@ _FIRST = "\ud800"  # marks a text's first stretch; not a character of any text
 _encoders: dict[int, Encoder] = {}
 
 
+def cuts_at_spaces(spec: str) -> bool:
+    """Whether a tokenizer's JSON says that it is of this family, with nothing done to a text before or after."""
+    told = json.loads(spec)
+    before = told.get("pre_tokenizer") or {}
+    plain = not told.get("normalizer") and not told.get("truncation") and not told.get("padding")
+    own = before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
+    return bool(plain and own and (told.get("model") or {}).get("type") == "BPE")
+
+
 def encoder(spec: str, most: int, across_tasks: bool) -> Encoder:
     """One for each worker process and tokenizer, so that what it remembers outlives a task; or one for this task."""
     if not across_tasks:
@@ -33,16 +43,18 @@ def encoder(spec: str, most: int, across_tasks: bool) -> Encoder:
 
 
 class Encoder:
-    """bytes of little-endian unsigned 32-bit ids for each text, equal to the library's own encoding of it."""
+    """bytes of little-endian unsigned 32-bit ids for each text, equal to the library's own encoding of it. What is
+    remembered takes about `most` bytes."""
 
-    def __init__(self, spec: str, most: int = 1_200_000):
+    def __init__(self, spec: str, most: int = 256 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(spec)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.size = self.tokenizer.get_vocab_size()
-        self.most = most
+        self.most, self.held = most, 0
+        self.whole = not cuts_at_spaces(spec)
         self.known: dict[str, bytes | None] = {}
         self.older: dict[str, bytes | None] = {}
 
@@ -54,7 +66,7 @@ class Encoder:
 
     def _learn(self, stretches: set[str]) -> None:
         """Ids of stretches as they stand in a text; None for one that doesn't begin and end at pieces' ends."""
-        known, older = self.known, self.older
+        known, older, before = self.known, self.older, len(self.known)
         back = [s for s in stretches if s in older]
         known.update(zip(back, map(older.__getitem__, back)))
         new, ends = [], []
@@ -79,8 +91,12 @@ class Encoder:
         known.update(zip(new, self._library([s[1:] if s[:1] == _FIRST else s if s[:1] == "\n" else f" {s}" for s in new])))
         for s in ends:
             known[s] = known[s[:-1]] + known[_FIRST + s[-1]]
+        # a string, its ids' bytes and a place in a dictionary
+        self.held += 170 * (len(known) - before) + sum(map(len, stretches))
 
     def encode(self, raw: list[str | None]) -> list[bytes]:
+        if self.whole:
+            return self._library([t or "" for t in raw])
         cut, all_, whole = [], set(), []
         for i, t in enumerate(raw):
             if t and any(map(t.__contains__, self.added)):
@@ -90,8 +106,8 @@ class Encoder:
             own = f"{_FIRST}{t}".replace("\n", " \n").split(" ") if t else []
             all_.update(own)
             cut.append(own)
-        if len(self.known) > self.most // 2:
-            self.known, self.older = {}, self.known
+        if self.held > self.most // 2:
+            self.known, self.older, self.held = {}, self.known, 0
         self._learn(all_.difference(self.known))
         get, out, odd = self.known.__getitem__, [], whole
         for i, own in enumerate(cut):
