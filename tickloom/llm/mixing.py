@@ -1,12 +1,12 @@
 """Mixing sources to target weights by weighted fair queueing, in DataFrame operations only.
 
 A source's documents are shuffled by a hash of the id. Copy e of a document finishes at virtual time
-(e * source's tokens + tokens up to and with the document) / target. All copies are put in order of virtual time, and
-the mix is cut where the next one would pass the total budget; it is the longest such start of the order.
+(e * source's tokens + tokens up to and with the document) / target. All copies are range-sorted by virtual time, and
+the mix is truncated where the next one would pass the total budget; it is the longest such start of the order.
 
-Running sums never need a source in one task: a source is cut by the leading bits of the shuffle hash, each part is
-summed by itself and moved by the parts before it. The cut is found from histograms of virtual time over fixed numbers
-of bins, narrowed until one value is left; only those come to the driver.
+Running sums never need a source, or the whole order, in one task: a source is cut by the leading bits of the shuffle
+hash and the order by ranges of time; each part is summed by itself and moved by the sums of the parts before it. Where
+the truncation falls is then a sum within one range.
 """
 
 from __future__ import annotations
@@ -14,9 +14,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm._util import stage
+from tickloom.llm._util import before, ranged, stage, whole
 
-PARTS, BINS = 4096, 2048
+PARTS = 4096
 #: Words between white space, to be counted.
 WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -38,25 +38,31 @@ def targets(sources: DataFrame, budget: int, most: int) -> DataFrame:
     return sources.withColumn("target", F.when(F.col("source_size") * most * F.lit(level[1]) <= F.col("weight") * F.lit(level[0]), (F.col("source_size") * most).cast("double")).otherwise(share))
 
 
-def by_code_point(rows: DataFrame) -> Column:
-    """Weights 1, 2, 3, repeating, of sources in order of their names, null last."""
-    return (F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1) % 3 + 1
+def by_code_point(sources: DataFrame) -> DataFrame:
+    """sources with weights 1, 2, 3, repeating, in order of their names, null last. Ranges of names are ranked each by
+    itself, as there may be as many sources as web sites."""
+    order = F.col("source").asc_nulls_last()
+    rows = ranged(sources, order, label="mix-names")
+    rows = rows.withColumn("own", F.row_number().over(Window.partitionBy("part").orderBy(order)))
+    rows = rows.join(before(rows, F.count("*")), "part")
+    return rows.select(*sources.columns, ((F.col("own") + F.col("before") - 1) % 3 + 1).cast("long").alias("weight"))
 
 
 def queue(docs: DataFrame, *, weights: Column | None = None, budget: int | None = None, most: int = 3, seed: str = "mix", id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(copies, documents): every copy with its virtual finish time, and each document with its source's figures."""
-    size = F.coalesce(F.size(F.regexp_extract_all(F.col(f"`{text_col}`").cast("string"), F.lit(WORDS), F.lit(0))), F.lit(0)).cast("long")
-    h = F.md5(F.concat(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")), F.lit(f":{seed}")))
-    rows = stage(docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{source_col}`").cast("string").alias("source"), F.when(F.col(f"`{text_col}`").isNull(), 0).otherwise(size).cast("long").alias("size"), h.alias("h")), "mix-rows")
+    """(copies, documents): every copy with its virtual finish time, and each document with its source's figures.
+    weights: an expression of source and source_size; by default the order of the sources' names gives them."""
+    text = F.col(f"`{text_col}`").cast("string")
+    rows = stage(docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source_col}`").cast("string").alias("source"), _size(text).alias("size"), shuffle(F.col(f"`{id_col}`"), text, seed).alias("h")), "mix-rows")
     part = F.conv(F.substring("h", 1, 3), 16, 10).cast("int")  # PARTS of them
     rows = rows.withColumn("part", part)
-    parts = stage(rows.groupBy("source", "part").agg(F.sum("size").alias("part_size")).coalesce(16), "mix-parts")  # of sums, at most PARTS a source
+    parts = stage(rows.groupBy("source", "part").agg(F.sum("size").alias("part_size")), "mix-parts")  # of sums, at most PARTS a source
     sources = parts.groupBy("source").agg(F.sum("part_size").alias("source_size"))
-    sources = stage(sources.withColumn("weight", (by_code_point(sources) if weights is None else weights).cast("long")).coalesce(1), "mix-sources")
+    sources = by_code_point(sources) if weights is None else sources.withColumn("weight", weights.cast("long"))
+    sources = stage(sources, "mix-sources")
     total = sources.agg(F.sum("source_size")).first()[0] or 0
     aims = targets(sources, total if budget is None else budget, most)
-    before = F.coalesce(F.sum("part_size").over(Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    known = parts.withColumn("before", before).join(aims.withColumnRenamed("source", "a_source"), F.col("source").eqNullSafe(F.col("a_source")))
+    upto = F.coalesce(F.sum("part_size").over(Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    known = parts.withColumn("before", upto).join(aims.withColumnRenamed("source", "a_source"), F.col("source").eqNullSafe(F.col("a_source")))
     known = known.select(F.col("source").alias("k_source"), F.col("part").alias("k_part"), "before", "source_size", "target")
     own = F.sum("size").over(Window.partitionBy("source", "part").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0))
     held = rows.withColumn("own", own).join(known, F.col("source").eqNullSafe(F.col("k_source")) & (F.col("part") == F.col("k_part")))
@@ -66,33 +72,40 @@ def queue(docs: DataFrame, *, weights: Column | None = None, budget: int | None
     return copies, documents
 
 
-def cut(copies: DataFrame, budget: int) -> float | None:
-    """The last virtual time at which all copies so far stay within the budget; None if even the first don't."""
-    ends = copies.agg(F.min("finish").alias("lo"), F.max("finish").alias("hi"), F.sum("size").alias("w")).first()
-    if ends.w is None:
-        return None
-    if ends.w <= budget:
-        return ends.hi
-    low, high, before, last = ends.lo, ends.hi, 0, None
-    while True:
-        span = high - low
-        here = copies.where((F.col("finish") >= F.lit(low)) & (F.col("finish") <= F.lit(high)))
-        place = F.lit(0) if span <= 0 else F.least(F.lit(BINS - 1), F.floor((F.col("finish") - F.lit(low)) / F.lit(span) * BINS).cast("int"))
-        bins = sorted(here.groupBy(place.alias("b")).agg(F.sum("size").alias("w"), F.min("finish").alias("lo"), F.max("finish").alias("hi")).collect(), key=lambda r: r.b)
-        for r in bins:
-            if before + r.w > budget:
-                break
-            before, last = before + r.w, r.hi
-        if r.lo == r.hi:  # copies at one time are taken or left together
-            return last
-        low, high = r.lo, r.hi
+def _size(text: Column) -> Column:
+    return F.coalesce(F.size(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORDS), F.lit(0))), F.lit(0)).cast("long")
+
+
+def shuffle(key: Column, text: Column, seed: str) -> Column:
+    """What a source's documents are ordered by: a hash of id and seed; of the text, where there is no id."""
+    return F.md5(F.concat(F.coalesce(key.cast("string"), F.concat(F.lit("no id "), F.md5(F.coalesce(text, F.lit(""))))), F.lit(f":{seed}")))
+
+
+def truncated(copies: DataFrame, budget: int) -> float | None:
+    """The last virtual time at which all copies so far stay within the budget; None if even the first don't.
+
+    The copies' times are range-sorted and staged; a range's sum is known from its own rows, so only the range in which
+    the budget ends is summed row by row. Copies of one time are taken or left together.
+    """
+    order = ranged(copies.select("finish", "size"), "finish", label="mix-order")
+    sums = order.groupBy("part").agg(F.sum("size").alias("part_sum"), F.max("finish").alias("last"))
+    total = F.sum("part_sum").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0))  # of ranges
+    sums = stage(sums.withColumn("total", total), "mix-ranges")
+    inside = sums.where(F.col("total") <= budget).agg(F.max("part").alias("part"), F.max("last").alias("last"), F.max("total").alias("total")).first()
+    over = sums.where(F.col("total") > budget).agg(F.min("part")).first()[0]
+    if over is None:
+        return inside.last
+    own = order.where(F.col("part") == over).groupBy("finish").agg(F.sum("size").alias("w"))
+    own = own.withColumn("total", F.sum("w").over(Window.orderBy("finish").rowsBetween(Window.unboundedPreceding, 0)) + F.lit(inside.total or 0))
+    here = own.where(F.col("total") <= budget).agg(F.max("finish")).first()[0]
+    return inside.last if here is None else here
 
 
 def mix(docs: DataFrame, *, budget: int | None = None, **options) -> DataFrame:
     """The mix itself: doc_id, source, size, epoch, finish of each copy taken, in global order of virtual time."""
     copies, documents = queue(docs, budget=budget, **options)
     budget = budget if budget is not None else documents.agg(F.sum("size")).first()[0] or 0
-    end = cut(copies, budget)
+    end = truncated(copies, budget)
     return copies.where(F.lit(False) if end is None else F.col("finish") <= F.lit(end)).orderBy("finish", "h", "doc_id").drop("h")
 
 
@@ -105,13 +118,12 @@ def apply(docs: DataFrame, *, budget: int | None = None, most: int = 3, weights:
     """
     copies, documents = queue(docs, weights=weights, budget=budget, most=most, seed=seed, id_col=id_col, source_col=source_col, text_col=text_col)
     budget = budget if budget is not None else documents.agg(F.sum("size")).first()[0] or 0
-    end = cut(copies, budget)
+    end = truncated(copies, budget)
     last = copies.where(F.lit(False) if end is None else F.col("finish") <= F.lit(end)).groupBy("source", "epoch").agg(F.max(F.struct("h", "doc_id", "size")).alias("last"))
     last = stage(last.groupBy(F.col("source").alias("m_source")).agg(*[F.max(F.when(F.col("epoch") == e, F.col("last"))).alias(f"m_last{e}") for e in range(most)]), "mix-last")
     text, key = F.col(f"`{text_col}`").cast("string"), F.col(f"`{id_col}`")
-    size = F.size(F.regexp_extract_all(text, F.lit(WORDS), F.lit(0))).cast("long")
-    h = F.md5(F.concat(F.coalesce(key.cast("string"), F.lit("")), F.lit(f":{seed}")))
-    rows = docs.where(text.isNotNull()).select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("m_row"), F.col(f"`{source_col}`").cast("string").alias("m_own"), F.struct(h.alias("h"), key.cast("long").alias("doc_id"), size.alias("size")).alias("m_place")).where("m_place.size > 0")
+    place = F.struct(shuffle(key, text, seed).alias("h"), key.alias("doc_id"), _size(text).alias("size"))
+    rows = docs.where(text.isNotNull()).select(whole(docs, "m_row"), F.col(f"`{source_col}`").cast("string").alias("m_own"), place.alias("m_place")).where("m_place.size > 0")
     side = F.broadcast(last) if last.count() <= most_broadcast else last
     rows = rows.join(side, F.expr("m_own <=> m_source"))
     times = sum((F.coalesce((F.col("m_place") <= F.col(f"m_last{e}")).cast("int"), F.lit(0)) for e in range(most)), F.lit(0))
@@ -121,13 +133,13 @@ def apply(docs: DataFrame, *, budget: int | None = None, most: int = 3, weights:
 def taken(docs: DataFrame, *, budget: int | None = None, most: int = 3, **options) -> DataFrame:
     """Per row of docs: doc_id, size, source_size, target, taken (tokens that the mix takes, repeats counted).
 
-    Null texts and those without words have size 0 and are never taken; null sources are one source, the last; null ids
-    are shuffled as one; equal rows stand beside each other in a source's order. Target is 0 for a source without words.
+    Null texts and those without words have size 0 and are never taken; null sources are one source, the last; rows
+    without an id are shuffled by their text; ids may be of any type that can be ordered; equal rows stand beside each other in a source's order. Target is 0 for a source without words.
     An empty table gives none. Reruns agree, as the shuffle is a hash of id and seed.
     """
     copies, documents = queue(docs, budget=budget, most=most, **options)
     budget = budget if budget is not None else documents.agg(F.sum("size")).first()[0] or 0
-    end = cut(copies, budget)
+    end = truncated(copies, budget)
     times = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda e: (e * F.col("source_size") + F.col("upto")).cast("double") / F.col("target"))
     repeats = F.lit(0) if end is None else F.when((F.col("size") > 0) & (F.col("target") > 0), F.size(F.filter(times, lambda t: t <= F.lit(end)))).otherwise(0)
     return documents.select("doc_id", "size", "source_size", "target", (F.col("size") * repeats).cast("long").alias("taken"))
