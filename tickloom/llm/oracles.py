@@ -46,7 +46,7 @@ SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM m WHERE n
 
 OP7 = r"""
 WITH d AS (
-  SELECT doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5(coalesce(cast(doc_id AS VARCHAR), '') || ':mix') AS h FROM documents
+  SELECT doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5(coalesce(cast(doc_id AS VARCHAR), 'no id ' || md5(coalesce(text, ''))) || ':mix') AS h FROM documents
 ),
 s AS (
   SELECT source, cast(sum(size) AS BIGINT) AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS w FROM d GROUP BY source
@@ -72,11 +72,29 @@ SELECT u.doc_id, size, source_size, target, coalesce(taken, 0) AS taken FROM u L
 """
 
 
-# The table has no tool calls: each of its rows is a message.
+# The turns that the query makes of the table (its rule is on conv_id and turn), and what has to come of them.
 OP9 = r"""
-SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) - 1 AS seq, role, 'message' AS kind, cast(NULL AS VARCHAR) AS call_id, cast(NULL AS BOOLEAN) AS linked,
-  '' AS problem, cast(json_object('content', text, 'kind', 'message', 'role', role, 'turn', turn) AS VARCHAR) AS json
-FROM conversations
+WITH t AS (SELECT conv_id, CAST(turn AS BIGINT) AS turn, role, text, (conv_id * 3 + turn) % 7 AS k, (conv_id + turn) % 2 AS shape, 'c' || turn AS id, (conv_id + 2 * turn) % 5 <> 0 AS answered FROM conversations),
+g AS (SELECT *, CASE WHEN k % 2 = 0 THEN turn + 1 ELSE turn - 1 END AS logged FROM t WHERE role = 'assistant' AND answered),
+l AS (
+  SELECT conv_id, turn, role, 'message' AS kind, NULL AS call_id, NULL AS linked, '' AS problem, turn AS o_turn, 0 AS o_part, 0 AS o_after,
+    CASE WHEN role = 'assistant' THEN cast(json_object('content', coalesce(text, ''), 'kind', 'message', 'role', role, 'turn', turn) AS VARCHAR) ELSE cast(json_object('content', text, 'kind', 'message', 'role', role, 'turn', turn) AS VARCHAR) END AS json FROM t
+  UNION ALL
+  SELECT conv_id, turn, role, 'call', id, answered,
+    CASE WHEN shape = 0 AND k = 0 THEN 'missing: query' WHEN shape = 1 AND k % 3 = 0 THEN 'wrong type: words' ELSE '' END, turn, 1, 0,
+    CASE WHEN shape = 0 AND k = 0 THEN cast(json_object('arguments', json_object('words', k), 'call_id', id, 'kind', 'call', 'name', 'lookup', 'role', role, 'turn', turn) AS VARCHAR)
+      WHEN shape = 0 THEN cast(json_object('arguments', json_object('query', substr(md5(coalesce(text, '')), 1, 8), 'words', k), 'call_id', id, 'kind', 'call', 'name', 'lookup', 'role', role, 'turn', turn) AS VARCHAR)
+      WHEN k % 3 = 0 THEN cast(json_object('arguments', json_object('words', 'many'), 'call_id', id, 'extra', json_object('type', 'function'), 'kind', 'call', 'name', 'count', 'role', role, 'turn', turn) AS VARCHAR)
+      ELSE cast(json_object('arguments', json_object('words', k), 'call_id', id, 'extra', json_object('type', 'function'), 'kind', 'call', 'name', 'count', 'role', role, 'turn', turn) AS VARCHAR) END
+  FROM t WHERE role = 'assistant'
+  UNION ALL
+  SELECT conv_id, logged, 'tool', 'result', id, true, '', CASE WHEN logged < turn THEN turn ELSE logged END, CASE WHEN logged < turn THEN 1 ELSE 0 END, CASE WHEN logged < turn THEN 1 ELSE 0 END,
+    cast(json_object('call_id', id, 'kind', 'result', 'result', json_object('n', turn), 'role', 'tool', 'turn', logged) AS VARCHAR) FROM g
+  UNION ALL
+  SELECT conv_id, turn, 'tool', 'result', 'x' || turn, false, 'no call', turn, 0, 0,
+    cast(json_object('call_id', 'x' || turn, 'kind', 'result', 'result', '?', 'role', 'tool', 'turn', turn) AS VARCHAR) FROM t WHERE role = 'user' AND turn % 6 = 4
+)
+SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY o_turn, o_part, o_after, turn, kind, call_id NULLS FIRST, json) - 1 AS seq, role, kind, call_id, linked, problem, json FROM l
 """
 
 

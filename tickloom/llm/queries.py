@@ -68,8 +68,29 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "text"), model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+#: (name, parameter, type, required) of the tools that op9's calls are checked against.
+TOOLS = [("lookup", "query", "string", True), ("lookup", "words", "integer", False), ("count", "words", "integer", True)]
+
+
+def with_tools(turns: DataFrame) -> DataFrame:
+    """conversations with tool use, by a rule on conv_id and turn alone, as the given ones have none: every turn of the
+    assistant makes a call, in one of the two usual shapes, some with arguments that don't fit; four in five get a
+    result, logged after the call's turn or before it; some results answer no call."""
+    t = turns.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
+    t = t.withColumns({"k": F.expr("(conv_id * 3 + turn) % 7"), "id": F.concat(F.lit("c"), F.col("turn").cast("string"))})
+    call = """CASE WHEN (conv_id + turn) % 2 = 0
+        THEN to_json(named_struct('id', id, 'name', 'lookup', 'arguments', named_struct('query', CASE WHEN k <> 0 THEN substr(md5(coalesce(text, '')), 1, 8) END, 'words', k)))
+        ELSE to_json(named_struct('id', id, 'type', 'function', 'function', named_struct('name', 'count', 'arguments', CASE WHEN k % 3 = 0 THEN '{"words":"many"}' ELSE concat('{"words":', k, '}') END))) END"""
+    said = f"concat(substring(to_json(named_struct('content', coalesce(text, ''))), 1, length(to_json(named_struct('content', coalesce(text, '')))) - 1), ',\"tool_calls\":[', {call}, ']}}')"
+    talk = t.select("conv_id", "turn", "role", F.expr(f"CASE WHEN role = 'assistant' THEN {said} ELSE text END").alias("text"))
+    given = t.where("role = 'assistant' AND (conv_id + 2 * turn) % 5 <> 0").select("conv_id", F.expr("CASE WHEN k % 2 = 0 THEN turn + 1 ELSE turn - 1 END").alias("turn"), F.lit("tool").alias("role"), F.to_json(F.struct(F.struct(F.col("turn").alias("n")).alias("content"), F.col("id").alias("tool_call_id"))).alias("text"))
+    odd = t.where("role = 'user' AND turn % 6 = 4").select("conv_id", "turn", F.lit("tool").alias("role"), F.to_json(F.struct(F.lit("?").alias("content"), F.concat(F.lit("x"), F.col("turn").cast("string")).alias("tool_call_id"))).alias("text"))
+    return talk.unionByName(given).unionByName(odd)
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat_format.format_chat(_read(spark, sf_dir, "conversations"))
+    tools = spark.createDataFrame(TOOLS, "name string, parameter string, type string, required boolean")
+    return chat_format.format_chat(with_tools(_read(spark, sf_dir, "conversations")), tools)
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
