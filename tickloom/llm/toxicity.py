@@ -4,7 +4,8 @@ A text's features are the hashes of its words (digits, a-z, all outside ASCII; A
 and of pairs with one word between, each present or not. Training keeps a learning rate for each coordinate, and L1
 leaves most weights exactly zero; what is broadcast is the list of the others, at most 2**BITS of them.
 
-Labels are learnt from a bounded sample: at most `per_class` documents of each label, by a hash of the id.
+Labels are learnt from a bounded sample: at most `per_class` documents of each label, by a hash of the id. Texts are
+read whole, in slices of about 1 MB; one text of any length is a row of at most three features a word.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm import _scan
+from tickloom.llm._util import ddl
 from tickloom.shipping import ship
 
 BITS, PER_CLASS, EPOCHS = 22, 4000, 10
@@ -59,11 +61,13 @@ def ftrl(rows: list[tuple[np.ndarray, int]], *, epochs: int = EPOCHS) -> tuple[n
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = PER_CLASS, epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray, float]:
-    """Weights from labelled documents. Null labels and ids are left out; of several labels of a document the largest counts."""
+    """Weights from labelled documents. Null labels and ids are left out; of several labels of a document the largest
+    counts, and of several texts the last in order, so repeated rows don't enlarge the sample. Empty tables give no weights."""
     ship(docs.sparkSession)
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).dropna().groupBy("id").agg(F.max("y").alias("y")).withColumn("h", F.xxhash64("id"))
     chosen = known.where("y = 1").orderBy("h", "id").limit(per_class).union(known.where("y = 0").orderBy("h", "id").limit(per_class))
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "id").select("h", "id", "y", "text")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "id")
+    texts = texts.groupBy("h", "id", "y").agg(F.max("text").alias("text"))
 
     def run(batches):
         for batch in batches:
@@ -102,5 +106,4 @@ def predict(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], *, tex
                 score = 1.0 / (1.0 + np.exp(-np.clip(total, -35, 35)))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score, pa.float64())], [*part.schema.names, "score"])
 
-    fields = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{fields}, score double")
+    return docs.mapInArrow(run, f"{ddl(docs)}, score double")
