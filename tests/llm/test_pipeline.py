@@ -46,3 +46,26 @@ def test_near_duplicates_by_five_words_and_four_fifths(spark):
 
 def test_stages_are_the_named_ones():
     assert [n for n, _ in P.STAGES] == ["language ID", "n-gram Jaccard join", "benchmark decontamination", "mixing sources to target weights", "token-ID / binary output"]
+
+
+def test_run_on_odd_tables(spark, tmp_path):
+    """Nulls in every column, empty and long texts, ties, repeated rows, clashing columns, and an empty table."""
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    a, b = (docs.orderBy("doc_id").limit(2).collect()[i].text for i in (0, 1))
+    rows = [(1, a, "en", "x", len(a)), (1, a, "en", "x", len(a)), (1, b, None, None, None), (None, b, "en", "x", 1), (None, None, None, None, None), (5, "", "en", "x", 0), (6, "12 !!", "en", "x", 5), (7, (a + " ") * 200, "en", "y", 1)]
+    odd = docs.unionByName(spark.createDataFrame(rows, docs.schema)).withColumns({c: F.lit(c) for c in ("node", "key", "row", "part", "h", "spans", "score", "lang_pred", "target", "size")})
+    folder = str(tmp_path / "odd")
+    odd.write.parquet(f"{folder}/documents.parquet")
+    spark.read.parquet(f"{DATA}/benchmark.parquet").write.parquet(f"{folder}/benchmark.parquet")
+    step = odd
+    for _, f in P.STAGES[:-1]:
+        step = stage(f(spark, step, folder), "odd")
+        assert step.columns == odd.columns
+    got = P.run(spark, folder).toPandas()
+    assert rows_of(got) == rows_of(P.token_output(spark, step, folder).toPandas()) and len(got) == step.count() > 100
+    nothing = str(tmp_path / "none")
+    odd.limit(0).write.parquet(f"{nothing}/documents.parquet")
+    spark.read.parquet(f"{DATA}/benchmark.parquet").limit(0).write.parquet(f"{nothing}/benchmark.parquet")
+    assert P.run(spark, nothing).count() == 0
