@@ -195,6 +195,7 @@ def merge_by_name(inputs: list[DataFrame], profile_id: str = "merged") -> DataFr
 def salvage_labels(events: DataFrame, *, wire: str, consumed: int, size: int, prefix: str = "profile") -> DataFrame:
     """events of one profile with seven attributes and a comment after VERSION that say what was recovered."""
     reasons = completeness(Profile.of(events)).first()
+    # fixed values: the names of the attributes, and the comment's words below
     values = {"salvage": "1", "salvage.incomplete": "1", "salvage.wire": wire, "salvage.bytes_consumed": str(consumed), "salvage.input_len": str(size), "salvage.discarded_tail": str(max(0, size - consumed)), "salvage.stream_incomplete": (reasons.reasons if reasons else "") or "none"}
     rows = [("ATTRIBUTE", f"{prefix}.{k}", v, None, i) for i, (k, v) in enumerate(values.items())]
     rows.append(("COMMENT", None, None, f"# {prefix} salvage: recovered complete verified prefix only; incomplete=1; discarded_tail={max(0, size - consumed)}\n", len(values)))
