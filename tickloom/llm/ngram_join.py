@@ -222,17 +222,21 @@ def _second_round(members: DataFrame, sizes: DataFrame, roots: DataFrame) -> Dat
     return rows.select("center", "node", F.least("tile", "other").alias("ti"), F.greatest("tile", "other").alias("tj"), "tile")
 
 
-def _links(members: DataFrame, payload: DataFrame, fn) -> DataFrame:
-    """a, b: links between members (center, node, n) of one group, by fn over tiles of their payload (by node). They
-    connect whatever all pairs of a group would connect."""
+def _roots(members: DataFrame, payload: DataFrame, fn) -> DataFrame:
+    """node, root: components of the links between members (center, node, n) of one group, by fn over tiles of their
+    payload (by node). They are those that all pairs of a group would give."""
     sizes = members.groupBy("center").agg(F.count("*").alias("c"), _tiles_of("count(*)", "sum(n)").alias("tiles"))
     sizes = stage(sizes.where("c > 1"), "sizes")
     keys, schema = ["center", "ti", "tj"], "a binary, b binary"
     links = stage(grouped(_first_round(members, sizes).join(payload, "node"), keys, fn, schema), "links")
+    roots = components(links)
     if sizes.where("tiles > 1").isEmpty():
-        return links
-    more = grouped(_second_round(members, sizes, components(links)).join(payload, "node"), keys, fn, schema)
-    return links.union(stage(more, "links"))
+        return roots
+    apart = _second_round(members, sizes, roots)
+    if apart.isEmpty():  # every large group is one component
+        return roots
+    more = stage(grouped(apart.join(payload, "node"), keys, fn, schema), "links")
+    return roots if more.isEmpty() else components(links.union(more))
 
 
 def _exact_sets(raw: list[str], k: int) -> list[np.ndarray]:
@@ -364,7 +368,7 @@ def _classified(docs: DataFrame, n: int, percent: int, id_col: str, text_col: st
     pairs = rows.join(blocks, "s").select("center", "nid").distinct()
     pairs = stage(pairs.join(classes.select("nid", "node", "n"), "nid").select("center", "node", "n"), "groups")
     may.unpersist()
-    maybe = components(_links(pairs, classes.select("node", "n", "bits"), _maybe(percent)))
+    maybe = _roots(pairs, classes.select("node", "n", "bits"), _maybe(percent))
 
     named = classes.select("node", "n", F.col("doc_id").alias("rep"))
     maybe = stage(maybe.join(named, "node").select("node", "n", "rep", F.xxhash64("node", "rep").alias("h"), F.xxhash64("root").alias("center")), "maybe")
@@ -373,7 +377,7 @@ def _classified(docs: DataFrame, n: int, percent: int, id_col: str, text_col: st
     source = source.mapInArrow(_wanted(may.test()), "h long, text string").withColumn("d_node", F.unhex(F.md5("text")))
     texts = stage(maybe.select("h", "node").join(source, (maybe["h"] == source["h"]) & (maybe["node"] == source["d_node"])).select("node", "text"), "texts")
     may.unpersist()
-    roots = components(_links(maybe.select("center", "node", "n"), texts, _linked(n, percent)))
+    roots = _roots(maybe.select("center", "node", "n"), texts, _linked(n, percent))
 
     at = stage(classes.select("node", "n", "doc_id").join(roots, "node", "left").select("node", "n", "doc_id", F.coalesce("root", "node").alias("root")), "roots")
     least = stage(at.groupBy("root").agg(F.min("doc_id").alias("component_id")), "least")
