@@ -21,7 +21,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm._util import before, stage
+from tickloom.llm._util import before, discard, stage
 
 QUANTILES, CLOSE = 64, 0.0005
 #: Rows of histograms that are collected for a level; nodes from which on bins are sought by Spark.
@@ -193,7 +193,8 @@ def kd_shards(docs: DataFrame, *, shards: int = 24, target_bytes: int | None = N
     if target_bytes:
         shards = max(1, -(-(ends.w or 0) // target_bytes))
     codes = [code(F.col(f"v{i}"), ends[f"q{i}"] or [], F.xxhash64("salt", F.lit(i))) for i in range(len(dims))] or [code(F.lit(None).cast("double"), [], F.xxhash64("salt"))]
-    coded = rows.select("doc_id", "size", "text_crc32", "salt", F.array(*codes).alias("codes"))
+    coded = stage(rows.select("doc_id", "size", "text_crc32", "salt", F.array(*codes).alias("codes")), "kd-codes")  # read by every level
+    discard(rows)
     tree = plan(coded, len(codes), "size", shards, ends.w or 0)
     first = F.lit([tree.first.get(i, 0) for i in range(max(tree.first) + 1)]).cast("array<int>")
     placed = coded.select("doc_id", "size", "text_crc32", "salt", F.get(first, tree.node_of()).alias("shard"))
