@@ -98,9 +98,9 @@ _BY_KEY = " UNION ALL ".join(
 @query("salvage_prefix", f"SELECT 'p' || k AS profile_id, CAST((sum(n) - 1) // 100 * 100 + 1 AS BIGINT) AS records FROM ({_BY_KEY}) GROUP BY k")
 def salvage_prefix(spark, d):
     """Each file is cut within its last chunk of 100 records: all chunks before come back, and the header's version."""
-    files = binary.encoded(tools.lossy(_events(spark, d)), "v6", per_chunk=100, codec=wire_v6.NONE)
-    cut = files.select(P, F.expr(f"substring(content, 1, length(content) - {wire_v6.FRAME.size + 1})").alias("content"))
-    return binary.salvaged_bytes(cut).select(P, "records")
+    folder = workspace(spark, "profiles-cut")
+    files = binary.write(tools.lossy(_events(spark, d)), folder, "v6", cut=wire_v6.FRAME.size + 1, per_chunk=100, codec=wire_v6.NONE)
+    return binary.salvaged_files(files).select(P, "records")
 
 
 @query("edges_csv", sql("edges", "SELECT caller || ',' || called || ',' || calls || ',' || CAST(incl AS BIGINT) || ',' || CAST(excl AS BIGINT) AS line FROM edges"))
