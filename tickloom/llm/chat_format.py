@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickloom.staging import discard, stage
+
 #: Turns of one conversation that are numbered by one task.
 TURNS_EACH = 1024
 #: Lines from which on such a range is split by turn, part and a hash of the line.
@@ -91,7 +93,7 @@ def format_chat(turns: DataFrame, tools: DataFrame | None = None) -> DataFrame:
     id' for calls. Text that is no such JSON is content, of any length. Null conversations are one, null turns come first, null roles
     and texts leave their field out; repeated rows are kept; an empty table gives none.
     """
-    rows = lines(turns)
+    rows = stage(lines(turns), "chat-lines")  # read by five branches, so that none parses the texts again
     place = F.struct(F.col("turn"), F.col("part"))
     first_call = rows.where("kind = 'call' AND call_id IS NOT NULL").groupBy("conv_id", "call_id").agg(F.min(place).alias("c"))
     first_result = rows.where("kind = 'result'").groupBy("conv_id", "call_id").agg(F.min(place).alias("r"))
@@ -110,6 +112,8 @@ def format_chat(turns: DataFrame, tools: DataFrame | None = None) -> DataFrame:
     # each field by the order of its name; to_json leaves null fields out, and variants have sorted keys
     body = F.struct(F.col("arguments"), F.col("call_id"), F.col("content"), F.col("extra"), F.col("kind"), F.col("name"), F.col("answer").alias("result"), F.col("role"), F.col("turn"))
     done = all_.select("conv_id", "turn", "role", "kind", "call_id", "linked", "problem", "o_turn", "o_part", "o_after", F.to_json(body).alias("json"))
+    done = stage(done, "chat-linked")  # counted twice and numbered
+    discard(rows)
     return _numbered(done).select("conv_id", "turn", "seq", "role", "kind", "call_id", "linked", "problem", "json")
 
 
