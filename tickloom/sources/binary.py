@@ -14,13 +14,15 @@ from contextlib import contextmanager
 from functools import reduce
 from operator import itemgetter, or_
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom import schemas
 from tickloom.shipping import ship
-from tickloom.sources import wire_v5, wire_v6
+from tickloom.sources import columns_v6, wire_v5, wire_v6
 from tickloom.sources.wire_v5 import BadProfile
 from tickloom.staging import filesystem, stage
 
@@ -71,8 +73,28 @@ def _salvage_counts(raw) -> tuple[str, int, int, int]:
     return kind, n, used, size
 
 
-def _rows(records, profile_id: str) -> Iterator[pa.RecordBatch]:
+def _batches(raw, mixed: bool, profile_id: str) -> Iterator[pa.RecordBatch]:
+    """_rows() of decode(), with records of the newer format read many at once."""
+    raw = wire_v5.opened(raw)
+    if _kind(raw) != "v6":
+        yield from _rows(decode(raw, mixed), profile_id)
+        return
     first, names = 0, [f.name for f in schemas.EVENTS.fields]
+    for part in columns_v6.decode(raw, mixed):
+        if isinstance(part, list):
+            yield from _rows(part, profile_id, first)
+            first += len(part)
+            continue
+        tags, columns = part.arrays()
+        n = part.rows
+        whole = pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(profile_id, pa.string()), n), pa.array(np.arange(first, first + n)), tags, *columns], names)
+        for at in range(0, n, ROWS):
+            yield whole.slice(at, ROWS)
+        first += n
+
+
+def _rows(records, profile_id: str, first: int = 0) -> Iterator[pa.RecordBatch]:
+    names = [f.name for f in schemas.EVENTS.fields]
     records = iter(records)
     while part := list(itertools.islice(records, ROWS)):
         # a tag's arguments are columns of their own; the columns of all tags, one after the other, go back in order
@@ -141,7 +163,7 @@ def read(spark: SparkSession, path: str, *, mode: str = "FAILFAST", mixed: bool
                         if mode == "SKIP":  # whether it is whole, before its first record is given
                             for _ in decode(raw, mixed):
                                 pass
-                        yield from _rows(decode(raw, mixed), name)
+                        yield from _batches(raw, mixed, name)
                     except BadProfile as e:
                         if mode != "SKIP":
                             raise BadProfile(f"{name}: {e}") from e
@@ -265,6 +287,34 @@ def _profiles(batches) -> Iterator[tuple[str, Iterator[tuple[str, tuple]]]]:
         yield name, ((_READ[row[1]][0], _READ[row[1]][1](row)) for row in own)
 
 
+#: tag -> the slots of its arguments, in order.
+_ARGUMENTS = {tag: list(of.values()) for tag, of in _SLOTS.items()}
+
+
+def _encoded(batches, wire: str, options: dict) -> Iterator[tuple[str, Iterator[bytes]]]:
+    """profile_id, and the pieces of its file, of batches of _in_order()."""
+    if wire == "v5" or options.get("switch"):
+        for name, records in _profiles(batches):
+            yield name, _pieces(records, wire, options)
+        return
+    parts = (part for batch in batches for part in _by_profile(batch))
+    for name, own in itertools.groupby(parts, key=itemgetter(0)):
+        yield name, wire_v6.pieces((table for _, table in own), slots=_ARGUMENTS, **options)
+
+
+def _by_profile(batch: pa.RecordBatch) -> Iterator[tuple[str, pa.Table]]:
+    """profile_id and its rows; a profile's are together."""
+    names, at, n = batch.column(0), 0, batch.num_rows
+    while at < n:
+        name = names[at].as_py()
+        end = n
+        if names[n - 1].as_py() != name:
+            own = pc.equal(names, pa.scalar(name, names.type)) if name is not None else pc.is_null(names)
+            end = at + pc.sum(own.slice(at)).as_py()
+        yield name, pa.Table.from_batches([batch.slice(at, end - at)])
+        at = end
+
+
 def _pieces(records, wire: str, options: dict) -> Iterator[bytes]:
     return wire_v5.pieces(records, **options) if wire == "v5" else wire_v6.pieces(records, **options)
 
@@ -275,8 +325,8 @@ def encoded(events: DataFrame, wire: str = "v5", **options) -> DataFrame:
     ship(events.sparkSession)
 
     def run(batches):
-        for name, records in _profiles(batches):
-            raw = b"".join(_pieces(records, wire, options))
+        for name, pieces in _encoded(batches, wire, options):
+            raw = b"".join(pieces)
             yield pa.RecordBatch.from_arrays([pa.array([name], pa.string()), pa.array([raw], pa.binary())], ["profile_id", "content"])
 
     return _in_order(events, wire).mapInArrow(run, "profile_id string, content binary")
@@ -303,12 +353,12 @@ def write(events: DataFrame, folder: str, wire: str = "v5", *, cut: int = 0, **o
 
     def run(batches):
         fs, root = filesystem(folder)
-        for profile_id, records in _profiles(batches):
+        for profile_id, pieces in _encoded(batches, wire, options):
             name = f"{uuid.uuid4().hex}.{wire}"
             part = f"{root}/.{name}.part"
             try:
                 with fs.open_output_stream(part, buffer_size=1 << 18) as out:
-                    for piece in _but_last(_pieces(records, wire, options), cut) if cut else _pieces(records, wire, options):
+                    for piece in _but_last(pieces, cut) if cut else pieces:
                         out.write(piece)
             except BaseException:
                 fs.delete_file(part)
