@@ -311,6 +311,27 @@ def test_encoder_equals_library_as_loaded():
     assert len(want[1000]) == 4 * 7 and [x for i in range(0, len(raw), 100) for x in e.encode(raw[i : i + 100])] == want
 
 
+def test_encoder_gives_new_words_to_the_library_together():
+    """op4: as few texts, as the library's time for each is more than that for a word; ids are the library's."""
+    e = tokens.Encoder(spec())
+    library, given = e.tokenizer, []
+
+    class Counted:
+        def encode_batch_fast(self, raw, **options):
+            given.extend(raw)
+            return library.encode_batch_fast(raw, **options)
+
+    e.tokenizer = Counted()
+    rng = np.random.default_rng(3)
+    word = lambda: "".join(rng.choice([*"abcdefghéß日1-'"], 9)) + rng.choice(["", ".", ",", "&&&", "!?", "'s", "-."])
+    raw = [" ".join(word() for _ in range(300)).replace(" a", "\na") for _ in range(20)]
+    assert e.encode(raw) == [np.array(library.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in raw]
+    assert len(given) < 100
+    letters = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and chr(c).isalnum()]
+    raw = [" ".join(f"x{c}. {c}&" for c in letters[i : i + 100]) for i in range(0, len(letters), 100)]
+    assert e.encode(raw) == [np.array(x.ids, dtype="<u4").tobytes() for x in library.encode_batch_fast(raw, add_special_tokens=False)]
+
+
 def test_encoder_of_another_family():
     """Texts go whole to a tokenizer that doesn't cut at spaces."""
     from tokenizers import Tokenizer
