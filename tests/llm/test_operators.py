@@ -417,6 +417,19 @@ def test_url_rules_in_parts(spark, monkeypatch):
     assert rows_of(url_rules.judge(pages, rules).toPandas()) == want
 
 
+def test_media_reads_with_one_worker(spark, odd):
+    """op6: a task has one Python worker for the header's read and the whole one, which are still two reads."""
+    cat = media.store(odd)
+    assert media.features(cat)._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    stored, asked = media.encode(media.payload("text")), []
+
+    def read(n, offset):
+        asked.append((n, offset))
+        return stored[offset - 7 : offset - 7 + n]
+
+    assert media._head(read, 7, len(stored)) == [576, 1, 8, 0] and asked == [(media.HEADER_BYTES, 7)]
+
+
 def test_media(spark, odd):
     cat = media.store(odd)
     got = media.features(cat).toPandas()

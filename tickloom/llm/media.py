@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm import _scan
-from tickloom.llm._util import ddl, filesystem, stage, workspace
+from tickloom.llm._util import ddl, filesystem, release, stage, workspace
 from tickloom.shipping import ship
 
 SIDE, SHARD_BYTES, PAD = 576, 64 << 20, b"\xff"
@@ -162,6 +162,8 @@ def store(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", fo
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *[pa.array(c, k) for c, k in zip(columns, kinds)]], ["doc_id", "n_bytes", "digest", "shard", "offset", "length", "stored"])
         if tar is not None:
             tar.close()
+        tar = batch = part = rows = columns = write_all = text = raw = None
+        release()
 
     rows = docs.select("doc_id", "text", same.alias("same"), own.alias("own"))
     rows = stage(rows.mapInArrow(run, f"doc_id {kind}, {_PLACE}, stored boolean"), "catalogue")
@@ -181,8 +183,9 @@ def canonical(catalogue: DataFrame) -> DataFrame:
     return catalogue.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("p")).select("digest", "p.*")
 
 
-def _reads(catalogue: DataFrame, schema: str, length, make) -> DataFrame:
-    """catalogue with what make() says of the bytes at its places; a place is read once for each run of rows with it."""
+def _reads(catalogue: DataFrame, schema: str, make) -> DataFrame:
+    """catalogue with what make() says of its places; a place is read once for each run of rows with it. make() gets a
+    function that reads bytes of the shard at an offset, the offset and the length."""
     ship(catalogue.sparkSession)
     names = [x.split()[0] for x in schema.split(", ")]
     kinds = {"int": pa.int32(), "long": pa.int64(), "string": pa.string()}
@@ -198,10 +201,12 @@ def _reads(catalogue: DataFrame, schema: str, length, make) -> DataFrame:
                 if offset not in known:
                     if len(known) > 10_000:
                         known = {}
-                    known[offset] = make(file.read_at(length(n), offset))
+                    known[offset] = make(file.read_at, offset, n)
                 rows.append(known[offset])
             columns = list(zip(*rows)) or [[]] * len(names)
             yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(c, kinds[x.split()[1]]) for c, x in zip(columns, schema.split(", "))]], [*batch.schema.names, *names])
+        file = known = batch = rows = columns = None
+        release()
 
     return catalogue.mapInArrow(run, f"{ddl(catalogue)}, {schema}")
 
@@ -220,8 +225,14 @@ def _for_all(catalogue: DataFrame, schema: str, read) -> DataFrame:
 METADATA = "width int, height int, bit_depth int, colour_type int"
 
 
+def _head(read, offset: int, n: int) -> list:
+    """Of a range read of the header alone."""
+    head = header(read(min(n, HEADER_BYTES), offset))
+    return [head[k] for k in ("width", "height", "bit_depth", "colour_type")]
+
+
 def _metadata(catalogue: DataFrame) -> DataFrame:
-    return _reads(catalogue, METADATA, lambda n: min(n, HEADER_BYTES), lambda raw: [header(raw)[k] for k in ("width", "height", "bit_depth", "colour_type")])
+    return _reads(catalogue, METADATA, _head)
 
 
 def metadata(catalogue: DataFrame) -> DataFrame:
@@ -246,5 +257,6 @@ def features(catalogue: DataFrame) -> DataFrame:
     payload_sha256, tail_crc32, media_bytes, media_sha256, feature (size and depth from the header; sum, number of values
     and entropy of the samples)."""
     schema = f"{METADATA}, {FEATURES}"
-    out = _for_all(catalogue, schema, lambda rows: _reads(_metadata(rows), FEATURES, lambda n: n, _digest))
+    # one worker for both reads of a payload
+    out = _for_all(catalogue, schema, lambda rows: _reads(rows, schema, lambda read, offset, n: [*_head(read, offset, n), *_digest(read(n, offset))]))
     return out.select("doc_id", "n_bytes", *[x.split()[0] for x in schema.split(", ")])
