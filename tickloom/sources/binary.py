@@ -254,10 +254,25 @@ _READ = [(tag, _arguments(tag)) for tag in schemas.TAGS]
 _UNSAID = ("sub_line", "eval_fid", "eval_line", "flags", "size", "mtime")
 
 
-def _in_order(events: DataFrame, wire: str) -> DataFrame:
-    """profile_id, tag's number and slots of the records, a profile's in one partition and in order of seq. Rows are
-    narrow, as each is sorted: a record's arguments take the first slots of their kinds. A number that is null is an
-    error."""
+#: Up to so many profiles are dealt out one to a task; more are even enough by hash.
+MOST_DEALT = 10_000
+
+
+def _dealt(rows: DataFrame, events: DataFrame) -> DataFrame:
+    """rows with each profile in a partition of its own: by hash several large ones meet in a task, which then sorts and
+    holds that much more. events are read once more for the profiles' names."""
+    names = [r.profile_id for r in events.select("profile_id").distinct().limit(MOST_DEALT + 1).collect()]
+    if not 1 < len(names) <= MOST_DEALT:
+        return rows.repartition("profile_id")
+    table = F.broadcast(rows.sparkSession.createDataFrame(list(enumerate(names)), "part int, own string"))
+    placed = rows.join(table, F.col("profile_id").eqNullSafe(F.col("own")), "left")
+    return placed.repartitionById(len(names), F.coalesce("part", F.lit(0))).drop("part", "own")
+
+
+def _in_order(events: DataFrame, wire: str, deal: bool = False) -> DataFrame:
+    """profile_id, tag's number and slots of the records, a profile's in one partition and in order of seq; deal: as
+    _dealt() has them. Rows are narrow, as each is sorted: a record's arguments take the first slots of their kinds. A
+    number that is null is an error."""
     cases = {x: None for x in _ALL_SLOTS}
     number = F.lit(None).cast("int")
     for tag, slots in _SLOTS.items():
@@ -271,7 +286,8 @@ def _in_order(events: DataFrame, wire: str) -> DataFrame:
             cases[x] = F.when(here, F.col(c)) if cases[x] is None else cases[x].when(here, F.col(c))
     number = F.coalesce(number, F.raise_error(F.concat(F.lit("unknown tag "), F.coalesce("tag", F.lit("null")))).cast("int"))
     rows = events.select("profile_id", "seq", number.alias("tag"), *[v.alias(x) for x, v in cases.items()])
-    return rows.repartition("profile_id").sortWithinPartitions("profile_id", "seq").select("profile_id", "tag", *_ALL_SLOTS)
+    rows = _dealt(rows, events) if deal else rows.repartition("profile_id")
+    return rows.sortWithinPartitions("profile_id", "seq").select("profile_id", "tag", *_ALL_SLOTS)
 
 
 def _profiles(batches) -> Iterator[tuple[str, Iterator[tuple[str, tuple]]]]:
@@ -366,7 +382,9 @@ def write(events: DataFrame, folder: str, wire: str = "v5", *, cut: int = 0, **o
             fs.move(part, f"{root}/{name}")
             yield pa.RecordBatch.from_arrays([pa.array([profile_id], pa.string()), pa.array([f"{folder}/{name}"], pa.string())], ["profile_id", "path"])
 
-    return stage(_in_order(events, wire).mapInArrow(run, "profile_id string, path string"), "written")
+    # the rows are few: in few files, as for each Spark's local file system starts a process (chmod) from an executor, which
+    # counts as large as that until it runs
+    return stage(_in_order(events, wire, deal=True).mapInArrow(run, "profile_id string, path string").hint("rebalance"), "written")
 
 
 def convert(spark: SparkSession, path: str, wire: str, **options) -> DataFrame:
